@@ -23,7 +23,7 @@ _MARKS = b"#%&*$@^~=+_<>{}[]\\/`|!"
 #: The statistics, in order; each is a function of the whole text alone.
 STATISTICS = (
     "log_words", "word_bytes", "upper", "digits", "stops", "symbols", "pipes", "shouts", "high_bytes", "blanks", "log_lines", "words_a_line",
-    "distinct_words", "repeats", "top_word", "distinct_pairs", "repeated_lines", "marked_words", "one_byte_words", "packed", "capital_words", "end_stop",
+    "distinct_words", "repeats", "top_word", "distinct_pairs", "repeated_lines", "marked_words", "one_byte_words", "packed", "capital_words",
 )
 
 
@@ -44,7 +44,7 @@ def statistics(text: bytes) -> list[float]:
         math.log1p(len(seen)) / math.log1p(w) if words else 0.0, part(sum(map(bytes.__eq__, words, words[1:])), w), part(max(seen.values(), default=0), w),
         math.log1p(len(set(zip(words, words[1:], strict=False)))) / math.log1p(w) if words else 0.0,
         part(len(lines) - len(set(lines)), m), part(sum(x[-1] in _MARKS for x in words), w), part(sum(len(x) == 1 for x in words), w), math.log((len(zlib.compress(text, 1)) + 20) / (n + 20)),
-        part(sum(x[0] in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" for x in words), w), part(sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines), m),
+        part(sum(x[0] in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" for x in words), w),
     ]
 
 
