@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, table, text_slices
+from .common import checked, small_batches, table, text_slices
 
 #: Words whose ids a task remembers; beyond it forgets them all and goes on.
 REMEMBERED = 400_000
@@ -139,6 +139,7 @@ def _coder(spark: SparkSession, ranks: dict[bytes, int] | None, pattern: str | N
 
 def _with(docs: DataFrame, column: str, added: str, names: list[str], f) -> DataFrame:
     """docs with columns that f makes of a slice of `column`."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in names]
     source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{column}`").alias("__in"))
 

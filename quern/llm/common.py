@@ -16,6 +16,17 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What one Arrow batch holds at most, in the JVM and in a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches, whose rows are whole texts here, unless the session bounds them itself."""
+    for key, most in BATCH.items():
+        if int(spark.conf.get(key, "0") or 0) in (0, 10_000, -1, 256 << 20, 64 << 20, 2**31 - 1, 2**63 - 1):
+            spark.conf.set(key, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,6 +50,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{scratch_root(spark)}/quern-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, table, text_slices
+from .common import checked, small_batches, table, text_slices
 
 #: A tag, a comment or a declaration. Quoted attribute values may hold ">".
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?/][^>]*+(?:>|\Z)", re.S)
@@ -244,6 +244,7 @@ def extract_pages(pages: DataFrame, html: str = "html", text: str = "text") -> D
     Columns of the result's own names are replaced.
     """
     checked(pages, html)
+    small_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html, text, "n_chars")]
     source = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{html}`").cast("binary").alias("html"))
 

@@ -13,7 +13,7 @@ from .common import Scratch, checked, row_keys, table, text_slices
 #: Bytes that a repeated string has at least, and the bytes whose hash orders positions (a gram).
 LENGTH, GRAM = 400, 16
 #: Suffixes that one bucket holds on average; suffixes sharing leading bytes beyond HOT are compared by counts.
-BUCKET, HOT = 40_000, 50_000
+BUCKET, HOT = 12_000, 20_000
 
 
 class Shape:
@@ -119,11 +119,17 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], shape: Shape) -> t
     (r, rn), (f, fn) = _padded(rights, shape.right), _padded(lefts, shape.far)
     order_r, order_f = multikey_quicksort(r, rn), multikey_quicksort(f, fn)
     shared_r, shared_f = common_prefixes(r, rn, order_r), common_prefixes(f, fn, order_f)
+    # the most that an anchor shares with any other is what it shares with a neighbour in the order
+    most_r, most_f = np.empty(n, np.int64), np.empty(n, np.int64)
+    most_r[order_r] = np.maximum(shared_r, np.append(shared_r[1:], 0))
+    most_f[order_f] = np.maximum(shared_f, np.append(shared_f[1:], 0))
     run_r, run_f = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(shape.near, shape.far + 1):
+        fits = np.flatnonzero((most_r >= shape.length - o) & (most_f >= o))
+        if len(fits) < 2:
+            continue
         run_r[order_r] = np.cumsum(shared_r < shape.length - o)
         run_f[order_f] = np.cumsum(shared_f < o)
-        fits = np.flatnonzero((rn >= shape.length - o) & (fn >= o))
         key = run_r[fits] * (n + 1) + run_f[fits]
         by = np.argsort(key, kind="stable")
         same = np.zeros(len(by), bool)
