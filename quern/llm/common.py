@@ -22,8 +22,8 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.exec
 
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches, whose rows are whole texts here, unless the session bounds them itself."""
-    for key, most in BATCH.items():
-        if int(spark.conf.get(key, "0") or 0) in (0, 10_000, -1, 256 << 20, 64 << 20, 2**31 - 1, 2**63 - 1):
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        for key, most in BATCH.items():
             spark.conf.set(key, most)
 
 
