@@ -125,7 +125,7 @@ def estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
 def _kept(batches, least: float):
     for batch in batches:
         good = [i for i, (x, y) in enumerate(zip(_arrays(batch.column("x")), _arrays(batch.column("y")), strict=True)) if estimate(x, y) >= least]
-        yield batch.take(pa.array(good, pa.int64())).select(["a", "b"])
+        yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
 
 def _verified(batches, percent: int):
@@ -137,7 +137,7 @@ def _verified(batches, percent: int):
             common = int((both[1:] == both[:-1]).sum())
             if 100 * common >= percent * (len(both) - common):
                 good.append(i)
-        yield batch.take(pa.array(good, pa.int64())).select(["a", "b"])
+        yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:

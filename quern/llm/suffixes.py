@@ -187,7 +187,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
                     near += [xxhash.xxh3_64_intdigest(x[p - shape.near : p + shape.lead]) for p in at]
                     full += [xxhash.xxh3_128_digest(x[max(0, p - shape.far) : p + shape.right], min(p, shape.far)) for p in at]
                 both = np.frombuffer(b"".join(full), np.int64).reshape(-1, 2)
-                part = batch.take(pa.array(rows, pa.int64()))
+                part = batch.select(["k1", "k2"]).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(place, pa.int32()), pa.array(np.array(near, np.uint64).view(np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["k1", "k2", "pos", "g", "c1", "c2"])
 
     sampled = scratch.save(slim.where(F.octet_length("text") >= length).mapInArrow(sample, "k1 long, k2 long, pos int, g long, c1 long, c2 long"), "anchors")
