@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, checked, row_keys, table, text_slices
 from .graph import components
 
-#: Retained values that have inverted lists, and values that the union sketch is estimated from.
-LISTED, SKETCH = 40, 128
+#: Least values that a class retains: the sketch that has inverted lists and that similarity is estimated from.
+LISTED = 40
 #: A list of so many classes at most is paired in full; in longer ones each class meets its neighbours.
 SHORT = 8
 #: A class with fewer values in short lists than this share of its listed ones may have links that only long lists show.
 RARE = 0.425
+#: Long lists in which such a class is looked up, and rows of a list that a task compares with as many others.
+LOOKED_UP, PART = 10, 1024
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANK = np.zeros(256, bool)
@@ -111,7 +113,7 @@ def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
 
-def estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
+def estimate(a: np.ndarray, b: np.ndarray, k: int = LISTED) -> float:
     """Jaccard similarity estimated on the k least values of the union of two bottom-k sketches."""
     both = np.concatenate([a, b])
     both.sort()
@@ -146,15 +148,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     Documents with equal sets are one class, so exact copies are never paired. Each class keeps the
     LISTED least values of its set under one hash function. Classes of a value's inverted list are
     candidates: in lists of up to SHORT classes each pair; in longer ones, sorted by the values that
-    follow, each class with its neighbour and with the list's first. The union sketch of the
-    pair's SKETCH least values is estimated from; pairs five standard deviations below the threshold go. The rest
-    is verified on whole sets. Components of these links follow.
+    follow, each class with its neighbour and with the list's first. Similarity is estimated on the
+    pair's union sketch; pairs five standard deviations below the threshold go. The rest is
+    verified on whole sets. Components of these links follow.
 
     Long lists then need one more look: a class with enough values in short lists meets all its
     partners there, so only classes made mostly of frequent shingles can have links that long lists
     alone show. Where such classes of a long list are in different components, those outside the
-    list's largest component are paired with all that are in others, estimated and verified. After
-    that, no two such classes that a list holds and a link would join are left unchecked.
+    list's largest component are compared with all that are in others, in tiles: estimated, and
+    verified on whole sets in the same task, until one link to the other's component is found. No
+    pair but a link leaves a task, and no list is capped. A class is looked up in its LOOKED_UP
+    least long lists; two linked ones share none of them with a chance of 0.2 ^ LOOKED_UP at most.
 
     Null texts and texts without words have an empty set and link with nothing. Repeated rows link
     with each other. component_id is the smallest id that links reach; a null id names a component
@@ -183,10 +187,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     inner = _link(spark, scratch, slim, classes, pairs, words, percent, "first")
     roots = components(inner, scratch, "roots-first")
     state = classes.select("cid", F.size("low").alias("have")).join(roots, F.col("cid") == F.col("node"), "left").select("cid", "have", F.coalesce("root", "cid").alias("root"))
-    rest = _rest(listed, classes, state)
-    rest = scratch.save(rest, "rest")
+    rest = scratch.save(_rest(listed, state), "rest")
     if not rest.isEmpty():
-        more = _link(spark, scratch, slim, classes, rest, words, percent, "second")
+        values = scratch.save(_values(slim, classes.join(rest.select("cid").distinct(), "cid"), words), "second-sets")
+        more = rest.join(values, "cid").groupBy("v", "part", "block").applyInArrow(_compare(percent), "a long, b long")
+        more = scratch.save(more, "second-links")
         roots = components(inner.union(more), scratch, "roots-second")
     member = classes.select("s1", "s2", "cid", "least").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = member.groupBy("root").agg(F.min("least").alias("component"))
@@ -198,40 +203,97 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_shingles", group.alias("component_id"), key.eqNullSafe(group).alias("kept"))
 
 
-def _rest(listed: DataFrame, classes: DataFrame, state: DataFrame) -> DataFrame:
-    """Pairs of classes made mostly of frequent shingles that share a long list but no component."""
-    long = listed.where(F.col("size") > SHORT).select("cid", "v")
-    frequent = long.groupBy("cid").agg(F.count(F.lit(1)).alias("long"))
-    mostly = state.join(frequent, "cid").where(F.col("have") - F.col("long") < RARE * F.col("have")).select("cid", "root")
-    inside = long.join(mostly, "cid")
-    each = inside.groupBy("v", "root").agg(F.count(F.lit(1)).alias("n"))
-    split = each.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("big")).where("roots > 1")
-    inside = inside.join(split, "v").select("v", "cid", "root", F.col("big.root").alias("big"))
-    out, every = inside.where("root != big").select("v", F.col("cid").alias("x"), F.col("root").alias("rx")), inside.select("v", F.col("cid").alias("y"), F.col("root").alias("ry"))
-    return out.join(every, "v").where("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
+def _rest(listed: DataFrame, state: DataFrame) -> DataFrame:
+    """Tiles of classes made mostly of frequent shingles: (v, part, block, outside, cid, root, looked).
 
-def _link(spark: SparkSession, scratch: Scratch, slim: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """The pairs that are links, by estimate and then by whole sets."""
-    nodes = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = classes.join(nodes, "cid").select("cid", "at.k1", "at.k2")
+    A row for each long list that holds more than one component; members are dealt to parts, those
+    outside the largest component, which meet every part, to blocks.
+    """
+    long = listed.where(F.col("size") > SHORT).select("cid", "v", "place")
+    frequent = long.groupBy("cid").agg(F.count(F.lit(1)).alias("long"), F.sort_array(F.collect_list("v")).alias("all"))
+    mostly = state.join(frequent, "cid").where(F.col("have") - F.col("long") < RARE * F.col("have"))
+    inside = mostly.select("cid", "root", F.slice("all", 1, LOOKED_UP).alias("looked")).withColumn("v", F.explode("looked"))
+    each = inside.groupBy("v", "root").agg(F.count(F.lit(1)).alias("n"))
+    split = each.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("big")).where("roots > 1")
+    split = split.select("v", F.col("big.root").alias("big"), F.ceil(F.col("m") / PART).alias("parts"), F.ceil((F.col("m") - F.col("big.n")) / PART).alias("blocks"))
+    inside = inside.join(split, "v")
+    part, block = F.pmod(F.xxhash64("cid"), F.col("parts")), F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = inside.select("v", part.alias("part"), upto("blocks").alias("block"), F.lit(False).alias("outside"), "cid", "root", "looked")
+    outside = inside.where("root != big").select("v", upto("parts").alias("part"), block.alias("block"), F.lit(True).alias("outside"), "cid", "root", "looked")
+    return members.union(outside)
+
+
+def _compare(percent: int):
+    out, least = pa.schema([("a", pa.int64()), ("b", pa.int64())]), _least(percent)
+
+    def tile(key, t):
+        t = t.combine_chunks()
+        v, side = key[0].as_py(), t["outside"].to_numpy(zero_copy_only=False)
+        cid, root = t["cid"].to_numpy(), t["root"].to_numpy()
+        sets, looked = _arrays(t["values"].chunk(0)), t["looked"].to_pylist()
+        # a pair belongs to the first list that both are looked up in
+        before = [{x for x in l if x < v} for l in looked]
+        inner, links = np.flatnonzero(~side), []
+        flat = np.concatenate([sets[i] for i in inner] or [np.zeros(0, np.uint64)])
+        sizes = np.array([len(sets[i]) for i in inner], np.int64)
+        lows = np.concatenate([sets[i][:LISTED] for i in inner] or [np.zeros(0, np.uint64)])
+        low_sizes = np.minimum(sizes, LISTED)
+        for o in np.flatnonzero(side):
+            x = sets[o]
+            may = (root[inner] != root[o]) & (100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x)))
+            shared = _shared(lows, low_sizes, x[:LISTED])
+            may &= shared >= least * np.minimum(low_sizes, min(LISTED, len(x)))
+            at = np.flatnonzero(may)
+            for j in at[np.argsort(-shared[at], kind="stable")]:
+                i = inner[j]
+                if root[i] == root[o] or before[i] & before[o]:
+                    continue
+                common = len(np.intersect1d(x, sets[i], assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(sets[i]) - common):
+                    links.append((cid[o], cid[i]))
+                    root = np.where(root == root[i], root[o], root)
+        return pa.table([np.array([x[k] for x in links], np.int64) for k in (0, 1)], schema=out)
+
+    return tile
+
+
+def _shared(flat: np.ndarray, sizes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How many values each of the arrays laid end to end has in common with x, which ascends."""
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    sums = np.concatenate([[0], np.cumsum(x[at] == flat)])
+    ends = np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]
+
+
+def _least(percent: int) -> float:
+    """Estimates on LISTED values below it are five standard deviations under the threshold."""
+    return percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / LISTED) ** 0.5
+
+
+def _values(slim: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """The whole shingle set of each class: (cid, values), from its representative's text."""
 
     def whole(batches):
         for batch in batches:
             for start, texts in text_slices(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("cid").slice(start, len(texts)), _lists([shingles(x, words) for x in texts])], names=["cid", "values"])
 
-    full = slim.join(wanted, ["k1", "k2"]).select("cid", "text").mapInArrow(whole, "cid long, values array<long>").dropDuplicates(["cid"])
-    full = scratch.save(full, f"{name}-sets")
-    sketch = full.select("cid", F.slice("values", 1, SKETCH).alias("values"))
-    limit = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5
+    texts = slim.join(classes.select("cid", "at.k1", "at.k2"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return texts.select("cid", "text").mapInArrow(whole, "cid long, values array<long>")
+
+
+def _link(spark: SparkSession, scratch: Scratch, slim: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """The pairs that are links, by estimate and then by whole sets."""
 
-    def both(p: DataFrame, sets: DataFrame) -> DataFrame:
-        return p.join(sets.select(F.col("cid").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("values").alias("y")), "b").select("a", "b", "x", "y")
+    def both(p: DataFrame, sets: DataFrame, values: str) -> DataFrame:
+        return p.join(sets.select(F.col("cid").alias("a"), F.col(values).alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col(values).alias("y")), "b").select("a", "b", "x", "y")
 
-    likely = both(pairs, sketch).mapInArrow(lambda it: _kept(it, limit), "a long, b long")
-    likely = scratch.save(likely, f"{name}-likely")
-    return scratch.save(both(likely, full).mapInArrow(lambda it: _verified(it, percent), "a long, b long"), f"{name}-links")
+    limit = _least(percent)
+    likely = scratch.save(both(pairs, classes, "low").mapInArrow(lambda it: _kept(it, limit), "a long, b long"), f"{name}-likely")
+    nodes = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
+    full = scratch.save(_values(slim, classes.join(nodes, "cid"), words), f"{name}-sets")
+    return scratch.save(both(likely, full, "values").mapInArrow(lambda it: _verified(it, percent), "a long, b long"), f"{name}-links")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

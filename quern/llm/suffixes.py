@@ -214,9 +214,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
                         out["after"].append(x[p : p + shape.right])
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=pa.schema(kinds))
 
-    # repeated rows have one key: each of them yields the surroundings, one copy is enough
-    around = slim.join(wanted, ["k1", "k2"]).select("text", "of").mapInArrow(surroundings, "g long, c1 long, c2 long, n long, m long, before binary, after binary")
-    around = scratch.save(around.dropDuplicates(["g", "c1", "c2"]), "around")
+    # repeated rows have one key, and one of them is enough
+    around = slim.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "of").mapInArrow(surroundings, "g long, c1 long, c2 long, n long, m long, before binary, after binary")
+    around = scratch.save(around, "around")
 
     def bucket(batches):
         t = pa.Table.from_batches(list(batches))
