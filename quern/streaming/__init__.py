@@ -1,0 +1 @@
+"""Empty: the engine has no continuous queries."""
