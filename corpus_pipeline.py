@@ -27,9 +27,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings of 400 bytes are cut out of the texts; halves of a character at a cut go too."""
-    cut = repeated_spans(docs)
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.regexp_replace(F.decode(F.col("kept"), F.lit("UTF-8")), "�", ""))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = repeated_spans(docs, as_text=True)
+    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

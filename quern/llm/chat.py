@@ -48,7 +48,7 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     lines = F.split(body, "\r?\n", -1)
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, QUOTE, 1), "[^>]", ""))
     plain = F.filter(lines, lambda x, i: (level(x) == 0) & ~(x.rlike(ATTRIBUTION) & (level(F.coalesce(F.try_element_at(lines, i + 2), F.lit(""))) > 0)))
-    content = F.when(quoted, F.trim(F.regexp_replace(F.array_join(plain, "\n"), r"\n{3,}", "\n\n"))).otherwise(body)
+    content = F.when(quoted, F.regexp_replace(F.regexp_replace(F.array_join(plain, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")).otherwise(body)
     rows = messages.withColumns({"__c": c, "__t": t, "__q": quoted, "content": content})
     rows = rows.withColumn("quote_depth", F.when(F.col("__q"), F.array_max(F.transform(lines, level))).otherwise(0).cast("int"))
 

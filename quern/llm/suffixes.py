@@ -142,11 +142,12 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], shape: Shape) -> t
     return least, most
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """Bytes covered by a string of `length` bytes that starts anywhere else too: all columns, and n_bytes, spans, kept.
 
     spans: array of (start, stop), the maximal covered runs of the text's UTF-8 bytes, judged on the
-    input, overlaps included; kept: the other bytes, as binary.
+    input, overlaps included; kept: the other bytes, as binary, or with as_text as a string, in which
+    halves of a character that a cut leaves are dropped.
 
     Suffixes are sampled by content: a position is an anchor where its 16-byte gram hashes least in
     some window of half of `length`, about one position in 90. Every string of `length` bytes has
@@ -255,10 +256,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
     spans = scratch.save(spans, "spans")
     scratch.drop("met", "classes", "around")
-    return _cut(keyed.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left"), docs.columns, text)
+    return _cut(keyed.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left"), docs.columns, text, as_text)
 
 
-def _cut(joined: DataFrame, columns: list[str], text: str) -> DataFrame:
+def _cut(joined: DataFrame, columns: list[str], text: str, as_text: bool) -> DataFrame:
     """Merge each row's spans and cut them out."""
     keep = [c for c in columns if c != text]
     source = joined.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("binary").alias("text"), "__spans")
@@ -281,12 +282,12 @@ def _cut(joined: DataFrame, columns: list[str], text: str) -> DataFrame:
                     kept.append(b"".join(x[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2)))
                     merged.append([{"start": s, "stop": e} for s, e in runs])
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in range(len(keep))], part.column("text"), pa.array([len(x) for x in texts], pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())],
+                    [*[part.column(i) for i in range(len(keep))], part.column("text"), pa.array([len(x) for x in texts], pa.int64()), pa.array(merged, span), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())],
                     names=[*[f"c{i}" for i in range(len(keep))], "text", "n_bytes", "spans", "kept"],
                 )
 
     fields = "".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(keep)))
-    out = source.mapInArrow(run, f"{fields}text binary, n_bytes long, spans array<struct<start int, stop int>>, kept binary")
+    out = source.mapInArrow(run, f"{fields}text binary, n_bytes long, spans array<struct<start int, stop int>>, kept {'string' if as_text else 'binary'}")
     place = {c: f"c{i}" for i, c in enumerate(keep)}
     return out.select(*[F.col(place[c]).alias(c) if c in place else F.col("text").cast(was_text).alias(c) for c in columns], "n_bytes", "spans", "kept")
 
