@@ -186,7 +186,7 @@ class Database:
         else:
             rows = [rows] if isinstance(rows, dict) else rows
             given = {k for r in rows for k in r}
-            df = self.spark.createDataFrame([tuple(t[c].kind.literal(r.get(c)) for c in t.names) for r in rows], t.struct())
+            df = self.spark.createDataFrame([tuple(t[c].kind.literal(r.get(c)) for c in t.names) for r in rows], t.struct()).coalesce(1)
         for name in given:
             t[name]
         manifest = self.warehouse.manifest()
@@ -248,6 +248,8 @@ class Database:
     def _check_rest(self, t: TableDef, images: Images, rows: DataFrame) -> None:
         for c in t.foreign_keys():
             there = images.read(c.foreign_key.table).select(F.col(f"`{c.foreign_key.column}`").alias("__k"))
+            if c.foreign_key.table == t.name:
+                there = there.union(rows.select(F.col(f"`{c.foreign_key.column}`")))
             if not rows.where(F.col(f"`{c.name}`").isNotNull()).join(there, F.col(f"`{c.name}`") == F.col("__k"), "left_anti").isEmpty():
                 raise BrokenForeignKeyReference(f"{t.name}.{c.name}")
         needed = [F.col(f"`{c.name}`").isNull() for c in t.columns if not c.nullable]
