@@ -107,11 +107,15 @@ def _contains(v: Column, needle: Any) -> Column:
     if isinstance(needle, list):
         out = is_array
         for x in needle:
-            out = out & F.coalesce(F.exists(elements, lambda e, x=x: _contains(e, x)), no)
+            out = out & F.coalesce(F.exists(elements, _holds(x)), no)
         return out
     return _equal(v, needle) | (is_array & F.coalesce(F.exists(elements, lambda e: _equal(e, needle)), no))
 
 
+def _holds(needle: Any):
+    return lambda e: _contains(e, needle)
+
+
 def _equal(v: Column, value: Any) -> Column:
     if value is None:
         return F.coalesce(F.is_variant_null(v), F.lit(False))
