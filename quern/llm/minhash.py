@@ -235,14 +235,15 @@ def _compare(percent: int):
         # a pair belongs to the first list that both are looked up in
         before = [{x for x in l if x < v} for l in looked]
         inner, links = np.flatnonzero(~side), []
-        flat = np.concatenate([sets[i] for i in inner] or [np.zeros(0, np.uint64)])
         sizes = np.array([len(sets[i]) for i in inner], np.int64)
         lows = np.concatenate([sets[i][:LISTED] for i in inner] or [np.zeros(0, np.uint64)])
         low_sizes = np.minimum(sizes, LISTED)
+        order = np.argsort(lows, kind="stable")
+        lows, owner = lows[order], np.repeat(np.arange(len(inner)), low_sizes)[order]
         for o in np.flatnonzero(side):
             x = sets[o]
             may = (root[inner] != root[o]) & (100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x)))
-            shared = _shared(lows, low_sizes, x[:LISTED])
+            shared = _shared(lows, owner, len(inner), x[:LISTED])
             may &= shared >= least * np.minimum(low_sizes, min(LISTED, len(x)))
             at = np.flatnonzero(may)
             for j in at[np.argsort(-shared[at], kind="stable")]:
@@ -258,12 +259,10 @@ def _compare(percent: int):
     return tile
 
 
-def _shared(flat: np.ndarray, sizes: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """How many values each of the arrays laid end to end has in common with x, which ascends."""
-    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-    sums = np.concatenate([[0], np.cumsum(x[at] == flat)])
-    ends = np.cumsum(sizes)
-    return sums[ends] - sums[ends - sizes]
+def _shared(values: np.ndarray, owner: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
+    """How many values each of n arrays has in common with x; values of all, ascending, and whose each is."""
+    first, last = np.searchsorted(values, x), np.searchsorted(values, x, "right")
+    return np.bincount(np.concatenate([owner[a:b] for a, b in zip(first, last, strict=True)]), minlength=n)
 
 
 def _least(percent: int) -> float:

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, html, minhash, mixing, quality, sharding, suffixes, topk, vectors
+from quern.llm import bpe, chat, common, graph, html, minhash, mixing, quality, sharding, suffixes, topk, vectors
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -97,6 +97,22 @@ def test_minhash(docs, monkeypatch, short):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found) and minhash.near_duplicates(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [graph.TASK_LINKS, 7])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(graph, "TASK_LINKS", at_once)
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(x := r.randrange(200, 400), x + 200 * r.randrange(2)) for _ in range(90)] + [(7, 7), (5, 4), (0, 1)]
+    root = {x: x for link in links for x in link}
+    for _ in range(60):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(4)
+    found = graph.components(frame, common.Scratch(spark, "test"), "graph")
+    assert sorted(map(tuple, found.collect())) == sorted((x, root[x]) for x in linked)
+    assert graph.components(empty(frame), common.Scratch(spark, "test"), "graph").count() == 0
+
+
 def test_quality(spark):
     r = random.Random(2)
     good = [" ".join(r.choice(WORDS) for _ in range(40)) + "." for _ in range(120)]
