@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, checked, row_keys, table, text_slices
@@ -14,6 +14,8 @@ from .common import Scratch, checked, row_keys, table, text_slices
 LENGTH, GRAM = 400, 16
 #: Suffixes that one bucket holds on average; suffixes sharing leading bytes beyond HOT are compared by counts.
 BUCKET, HOT = 12_000, 20_000
+#: Parts that the rows of one key are dealt to; at most 64, the bits of a mask.
+SLOTS = 64
 
 
 class Shape:
@@ -142,6 +144,16 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], shape: Shape) -> t
     return least, most
 
 
+def _mask(slot: Column) -> Column:
+    """The slots that a group's rows are in, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot)).alias("mask")
+
+
+def _slots() -> Column:
+    """A row for each slot of the mask."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.bit_get(F.col("mask"), k) == 1)).alias("slot")
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """Bytes covered by a string of `length` bytes that starts anywhere else too: all columns, and n_bytes, spans, kept.
 
@@ -192,23 +204,25 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(place, pa.int32()), pa.array(np.array(near, np.uint64).view(np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["k1", "k2", "pos", "g", "c1", "c2"])
 
     sampled = scratch.save(slim.where(F.octet_length("text") >= length).mapInArrow(sample, "k1 long, k2 long, pos int, g long, c1 long, c2 long"), "anchors")
-    twice = sampled.groupBy("g").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("g")
-    met = scratch.save(sampled.join(twice, "g"), "met")
+    # joins back to many rows of one key go by key and slot, so that no task holds a hot key's rows
+    by_row, by_class = F.pmod("k1", F.lit(SLOTS)).cast("int"), F.pmod("c1", F.lit(SLOTS)).cast("int")
+    twice = sampled.groupBy("g").agg(F.count(F.lit(1)).alias("__n"), _mask(by_row)).where("__n > 1").select("g", _slots())
+    met = scratch.save(sampled.withColumn("slot", by_row).join(twice, ["g", "slot"]), "met")
     scratch.drop("anchors")
-    classes = met.groupBy("g", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
+    classes = met.groupBy("g", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"), _mask(F.col("slot")))
     classes = scratch.save(classes, "classes")
-    several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    open_ = classes.join(several, "g").select("g", "c1", "c2", "n", "m", "at.*")
-    wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "g", "c1", "c2", "n", "m")).alias("of"))
+    several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("m"), _mask(by_class)).where("m > 1").select("g", "m", _slots())
+    open_ = classes.drop("mask").withColumn("slot", by_class).join(several, ["g", "slot"]).select("g", "c1", "c2", "n", "m", "at.*").withColumn("slot", by_row)
+    wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "g", "c1", "c2", "slot", "n", "m")).alias("of"))
 
     def surroundings(batches):
-        kinds = [pa.field("g", pa.int64()), pa.field("c1", pa.int64()), pa.field("c2", pa.int64()), pa.field("n", pa.int64()), pa.field("m", pa.int64()), pa.field("before", pa.binary()), pa.field("after", pa.binary())]
+        kinds = [pa.field("g", pa.int64()), pa.field("c1", pa.int64()), pa.field("c2", pa.int64()), pa.field("slot", pa.int32()), pa.field("n", pa.int64()), pa.field("m", pa.int64()), pa.field("before", pa.binary()), pa.field("after", pa.binary())]
         for batch in batches:
             for start, texts in text_slices(batch):
                 out = {f.name: [] for f in kinds}
                 for x, of in zip(texts, batch.column("of").slice(start, len(texts)).to_pylist(), strict=True):
                     for a in of:
-                        for c in ("g", "c1", "c2", "n", "m"):
+                        for c in ("g", "c1", "c2", "slot", "n", "m"):
                             out[c].append(a[c])
                         p = a["pos"]
                         out["before"].append(x[max(0, p - shape.far) : p][::-1])
@@ -216,7 +230,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=pa.schema(kinds))
 
     # repeated rows have one key, and one of them is enough
-    around = slim.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "of").mapInArrow(surroundings, "g long, c1 long, c2 long, n long, m long, before binary, after binary")
+    around = slim.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "of").mapInArrow(surroundings, "g long, c1 long, c2 long, slot int, n long, m long, before binary, after binary")
     around = scratch.save(around, "around")
 
     def bucket(batches):
@@ -225,7 +239,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
             return
         least, most = repeated_offsets(t["before"].to_pylist(), t["after"].to_pylist(), shape)
         hit = np.flatnonzero((most >= 0) & (t["n"].to_numpy() == 1))
-        t = t.take(pa.array(hit)).select(["g", "c1", "c2"])
+        t = t.take(pa.array(hit)).select(["g", "c1", "c2", "slot"])
         t = t.append_column("back", pa.array(most[hit].astype(np.int32))).append_column("on", pa.array((shape.length - least[hit]).astype(np.int32)))
         yield from t.to_batches()
 
@@ -240,19 +254,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
                     o.append(k)
                     h1.append((h >> 64) - (1 << 63))
                     h2.append((h & (1 << 64) - 1) - (1 << 63))
-            part = b.select(["g", "c1", "c2", "n"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(o, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["g", "c1", "c2", "n", "o", "h1", "h2"])
+            part = b.select(["g", "c1", "c2", "slot", "n"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(o, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["g", "c1", "c2", "slot", "n", "o", "h1", "h2"])
 
     lead = F.substring("after", 1, shape.lead)
     usual = around.where(F.col("m") <= HOT)
     buckets = max(1, -(-usual.count() // BUCKET))
-    reach = usual.repartitionByRange(buckets, lead).mapInArrow(bucket, "g long, c1 long, c2 long, back int, on int")
-    each = around.where(F.col("m") > HOT).select("g", "c1", "c2", "n", "before", "after").mapInArrow(strings, "g long, c1 long, c2 long, n long, o int, h1 long, h2 long")
+    reach = usual.repartitionByRange(buckets, lead).mapInArrow(bucket, "g long, c1 long, c2 long, slot int, back int, on int")
+    each = around.where(F.col("m") > HOT).select("g", "c1", "c2", "slot", "n", "before", "after").mapInArrow(strings, "g long, c1 long, c2 long, slot int, n long, o int, h1 long, h2 long")
     again = each.groupBy("o", "h1", "h2").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    counted = each.where("n = 1").join(again, ["o", "h1", "h2"]).groupBy("g", "c1", "c2").agg(F.max("o").alias("back"), (F.lit(length) - F.min("o")).alias("on"))
-    whole = classes.where("n > 1").select("g", "c1", "c2", F.lit(shape.far).alias("back"), F.lit(shape.right).alias("on"))
+    counted = each.where("n = 1").join(again, ["o", "h1", "h2"]).groupBy("g", "c1", "c2", "slot").agg(F.max("o").alias("back"), (F.lit(length) - F.min("o")).alias("on"))
+    whole = classes.where("n > 1").select("g", "c1", "c2", _slots(), F.lit(shape.far).alias("back"), F.lit(shape.right).alias("on"))
     reach = whole.unionByName(reach).unionByName(counted)
-    spans = met.join(reach, ["g", "c1", "c2"]).select("k1", "k2", F.greatest(F.lit(0), F.col("pos") - F.col("back")).alias("start"), (F.col("pos") + F.col("on")).alias("stop"))
+    spans = met.join(reach, ["g", "c1", "c2", "slot"]).select("k1", "k2", F.greatest(F.lit(0), F.col("pos") - F.col("back")).alias("start"), (F.col("pos") + F.col("on")).alias("stop"))
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
     spans = scratch.save(spans, "spans")
     scratch.drop("met", "classes", "around")
