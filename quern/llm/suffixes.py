@@ -169,10 +169,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     2. Anchors with the same full surroundings are one class; a class of two or more is covered as
        far as these reach. Copies end here, however many there are.
     3. Other classes that share leading bytes with a different class are suffixes to sort: sampled
-       splitters over the leading bytes range-partition them, each bucket is sorted by multikey
+       splitters over the leading bytes, and those just before, range-partition them, each bucket is sorted by multikey
        quicksort, forwards from the anchor and backwards before it, and neighbours are compared.
        Splitters are cut on the bytes that any match shares, so no match lies across a boundary.
-       Leading bytes with more than HOT classes would make a bucket too large: their strings are
+       Such bytes with more than HOT classes would make a bucket too large: their strings are
        counted by hash across all tasks instead, with partial sums, which is exact as well.
     4. The classes' reach goes back to all their anchors, and a document's spans are joined to it.
 
@@ -234,9 +234,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     around = scratch.save(around, "around")
 
     def bucket(batches):
-        t = pa.Table.from_batches(list(batches))
-        if not len(t):
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
             return
+        t = pa.Table.from_batches(batches)
         least, most = repeated_offsets(t["before"].to_pylist(), t["after"].to_pylist(), shape)
         hit = np.flatnonzero((most >= 0) & (t["n"].to_numpy() == 1))
         t = t.take(pa.array(hit)).select(["g", "c1", "c2", "slot"])
@@ -257,10 +258,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
             part = b.select(["g", "c1", "c2", "slot", "n"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(o, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["g", "c1", "c2", "slot", "n", "o", "h1", "h2"])
 
-    lead = F.substring("after", 1, shape.lead)
+    # the bytes that any match shares, forwards and then backwards: at most HOT classes have them in common
+    lead = (F.substring("after", 1, shape.lead), F.substring("before", 1, shape.near))
     usual = around.where(F.col("m") <= HOT)
     buckets = max(1, -(-usual.count() // BUCKET))
-    reach = usual.repartitionByRange(buckets, lead).mapInArrow(bucket, "g long, c1 long, c2 long, slot int, back int, on int")
+    reach = usual.repartitionByRange(buckets, *lead).mapInArrow(bucket, "g long, c1 long, c2 long, slot int, back int, on int")
     each = around.where(F.col("m") > HOT).select("g", "c1", "c2", "slot", "n", "before", "after").mapInArrow(strings, "g long, c1 long, c2 long, slot int, n long, o int, h1 long, h2 long")
     again = each.groupBy("o", "h1", "h2").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     counted = each.where("n = 1").join(again, ["o", "h1", "h2"]).groupBy("g", "c1", "c2", "slot").agg(F.max("o").alias("back"), (F.lit(length) - F.min("o")).alias("on"))
