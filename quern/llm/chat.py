@@ -10,6 +10,8 @@ from .common import Scratch, checked, table
 
 #: Leading quote marks of a line: levels may be set apart by blanks.
 QUOTE = r"^((?:[ \t]{0,3}>)+)[ \t]?"
+#: Turns, and threads, whose rows are counted together at most.
+BLOCK = 4096
 #: A line that only says who is quoted.
 ATTRIBUTION = r"(?i)^[ \t]*(?:on\b.{0,300}|.{1,120}\b)(?:wrote|writes|said):[ \t]*$"
 
@@ -33,8 +35,8 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     formatted is content between the role's markers.
 
     Nothing is gathered by conversation: hashes are joined by a window over (conversation, hash),
-    chains are shortened by pointer jumping, and positions are counted in pieces of 4096 turns whose
-    counts are added up. Null texts have null content and are formatted as empty. A null turn
+    chains are shortened by pointer jumping, and positions are counted in blocks of BLOCK turns of one
+    thread, whose counts are added up by blocks of BLOCK threads. Null texts have null content and are formatted as empty. A null turn
     stands last and answers nothing; null conversations are one conversation; a null role is
     written as unknown. Rows repeated within a turn are numbered one after another. An empty table
     gives an empty result. Columns of the result's own names are replaced.
@@ -82,13 +84,18 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
                 break
         linked = rows.join(replies, F.col("__c").eqNullSafe(F.col("rc")) & (F.col("__t") == F.col("rt")), "left")
         linked = linked.withColumns({"reply_to": F.col("to"), "root_turn": F.coalesce("root", "__t")})
-    piece = F.floor(F.col("root_turn") / 4096)
-    linked = linked.withColumn("__p", piece)
-    counts = linked.groupBy("__c", "__p").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("__c").orderBy(F.col("__p").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("__c").alias("nc"), F.col("__p").alias("np"), before.alias("first"))
-    within = F.row_number().over(W.partitionBy("__c", "__p").orderBy(F.col("root_turn").asc_nulls_last(), F.col("__t").asc_nulls_last(), F.xxhash64(f"`{role}`", f"`{text}`"))) - 1
-    out = linked.withColumn("__n", within).join(counts, F.col("__c").eqNullSafe(F.col("nc")) & F.col("__p").eqNullSafe(F.col("np")))
+    # positions by prefix sums: over blocks of roots in a conversation, over blocks of turns in a block of roots, then in the latter
+    content_hash = F.xxhash64(f"`{role}`", f"`{text}`")
+    linked = linked.withColumns({"__p": F.floor(F.col("root_turn") / BLOCK), "__b": F.coalesce(F.floor(F.col("__t") / BLOCK), F.shiftright(content_hash, 50))})
+    counts = linked.groupBy("__c", "__p", "root_turn", "__b").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counts.groupBy("__c", "__p").agg(F.sum("n").alias("n"))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("__c").alias("bc"), F.col("__p").alias("bp"), ahead(W.partitionBy("__c").orderBy(F.col("__p").asc_nulls_last())).alias("earlier"))
+    counts = counts.withColumn("ahead", ahead(W.partitionBy("__c", "__p").orderBy(F.col("root_turn").asc_nulls_last(), F.col("__b").asc_nulls_last())))
+    counts = counts.join(blocks, F.col("__c").eqNullSafe(F.col("bc")) & F.col("__p").eqNullSafe(F.col("bp")))
+    counts = counts.select(F.col("__c").alias("nc"), F.col("root_turn").alias("nr"), F.col("__b").alias("nb"), (F.col("earlier") + F.col("ahead")).alias("first"))
+    within = F.row_number().over(W.partitionBy("__c", "root_turn", "__b").orderBy(F.col("__t").asc_nulls_last(), content_hash)) - 1
+    out = linked.withColumn("__n", within).join(counts, F.col("__c").eqNullSafe(F.col("nc")) & F.col("root_turn").eqNullSafe(F.col("nr")) & F.col("__b").eqNullSafe(F.col("nb")))
     formatted = F.concat(F.lit("<|"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("unknown")), F.lit("|>\n"), F.coalesce("content", F.lit("")), F.lit("<|end|>\n"))
     return out.select(*[F.col(f"`{x}`") for x in messages.columns], "quote_depth", "reply_to", "root_turn", (F.col("first") + F.col("__n")).cast("long").alias("position"), "content", formatted.alias("formatted"))
 

@@ -60,6 +60,9 @@ def test_suffixes_by_counts(docs, monkeypatch):
     want = {(r["doc_id"], bytes(r["kept"])) for r in suffixes.repeated_spans(docs, length=128).collect()}
     monkeypatch.setattr(suffixes, "HOT", 2)
     assert {(r["doc_id"], bytes(r["kept"])) for r in suffixes.repeated_spans(docs, length=128).collect()} == want
+    monkeypatch.setattr(suffixes, "HOT", 20_000)
+    monkeypatch.setattr(suffixes, "BUCKET", 3)
+    assert {(r["doc_id"], bytes(r["kept"])) for r in suffixes.repeated_spans(docs, length=128).collect()} == want
 
 
 def test_multikey_quicksort():
@@ -190,6 +193,22 @@ def test_chat(spark):
     assert got[1, 1]["formatted"] == "<|assistant|>\nFine.<|end|>\n" and chat.link_quotations(df).count() == len(rows) and chat.link_quotations(empty(df)).count() == 0
 
 
+def test_chat_positions(spark, monkeypatch):
+    """A thread that most turns answer, turns without one, rows without a turn, in blocks of 4."""
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    rows = [(1, 3, "user", "the first thing"), (1, 5, "user", "the second thing")]
+    rows += [(1, t, "user", f"> the {'second' if t % 5 == 0 else 'first'} thing\nanswer {t}" if t % 3 else f"remark {t}") for t in range(6, 60)]
+    rows += [(1, None, "user", f"no turn {k}") for k in range(9)] + [(2, t, "user", "again") for t in (1, 1, 9)]
+    got = chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    high = 10**9
+    for conv in (1, 2):
+        place = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["position"])
+        assert [r["position"] for r in place] == list(range(len(place)))
+        keys = [(high if r["root_turn"] is None else r["root_turn"], high if r["turn"] is None else r["turn"]) for r in place]
+        assert keys == sorted(keys)
+    assert sum(r["root_turn"] == 3 for r in got) > 25 and sum(r["root_turn"] == 5 for r in got) > 5
+
+
 def test_mixing(docs):
     mixed = mixing.mix_sources(docs, F.regexp_count("text", F.lit(mixing.WORD)))
     rows = mixed.collect()
