@@ -169,7 +169,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     2. Anchors with the same full surroundings are one class; a class of two or more is covered as
        far as these reach. Copies end here, however many there are.
     3. Other classes that share leading bytes with a different class are suffixes to sort: sampled
-       splitters over the leading bytes, and those just before, range-partition them, each bucket is sorted by multikey
+       splitters over the leading bytes, then step 1's hash, range-partition them, each bucket is sorted by multikey
        quicksort, forwards from the anchor and backwards before it, and neighbours are compared.
        Splitters are cut on the bytes that any match shares, so no match lies across a boundary.
        Such bytes with more than HOT classes would make a bucket too large: their strings are
@@ -258,8 +258,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
             part = b.select(["g", "c1", "c2", "slot", "n"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(o, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["g", "c1", "c2", "slot", "n", "o", "h1", "h2"])
 
-    # the bytes that any match shares, forwards and then backwards: at most HOT classes have them in common
-    lead = (F.substring("after", 1, shape.lead), F.substring("before", 1, shape.near))
+    # the leading token, then the hash of the bytes that any match shares: at most HOT classes have both in common
+    lead = (F.substring("after", 1, GRAM), F.col("g"))
     usual = around.where(F.col("m") <= HOT)
     buckets = max(1, -(-usual.count() // BUCKET))
     reach = usual.repartitionByRange(buckets, *lead).mapInArrow(bucket, "g long, c1 long, c2 long, slot int, back int, on int")
