@@ -17,9 +17,7 @@ from .graph import components
 LISTED = 40
 #: A list of so many classes at most is paired in full; in longer ones each class meets its neighbours.
 SHORT = 8
-#: A class with fewer values in short lists than this share of its listed ones may have links that only long lists show.
-RARE = 0.425
-#: Long lists in which such a class is looked up, and rows of a list that a task compares with as many others.
+#: Long lists in which a class is looked up, and rows of a list that a task compares with as many others.
 LOOKED_UP, PART = 10, 1024
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -152,9 +150,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     pair's union sketch; pairs five standard deviations below the threshold go. The rest is
     verified on whole sets. Components of these links follow.
 
-    Long lists then need one more look: a class with enough values in short lists meets all its
-    partners there, so only classes made mostly of frequent shingles can have links that long lists
-    alone show. Where such classes of a long list are in different components, those outside the
+    Long lists then need one more look. Pairs that share a value of a short list met there; a pair
+    that shares long lists only must have as many of them in common as the estimate demands, so
+    every class with so many values in long lists is looked up, whatever its other values are, and
+    none that the estimate would let through is left out. Where such classes of a long list are in different components, those outside the
     list's largest component are compared with all that are in others, in tiles: estimated, and
     verified on whole sets in the same task, until one link to the other's component is found. No
     pair but a link leaves a task, and no list is capped. A class is looked up in its LOOKED_UP
@@ -186,8 +185,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     pairs = scratch.save(pairs, "pairs")
     inner = _link(spark, scratch, slim, classes, pairs, words, percent, "first")
     roots = components(inner, scratch, "roots-first")
-    state = classes.select("cid", F.size("low").alias("have")).join(roots, F.col("cid") == F.col("node"), "left").select("cid", "have", F.coalesce("root", "cid").alias("root"))
-    rest = scratch.save(_rest(listed, state), "rest")
+    state = classes.select("cid", "n", F.size("low").alias("have")).join(roots, F.col("cid") == F.col("node"), "left").select("cid", "n", "have", F.coalesce("root", "cid").alias("root"))
+    rest = scratch.save(_rest(listed, state, percent), "rest")
     if not rest.isEmpty():
         values = scratch.save(_values(slim, classes.join(rest.select("cid").distinct(), "cid"), words), "second-sets")
         more = rest.join(values, "cid").groupBy("v", "part", "block").applyInArrow(_compare(percent), "a long, b long")
@@ -203,16 +202,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_shingles", group.alias("component_id"), key.eqNullSafe(group).alias("kept"))
 
 
-def _rest(listed: DataFrame, state: DataFrame) -> DataFrame:
-    """Tiles of classes made mostly of frequent shingles: (v, part, block, outside, cid, root, looked).
+def _rest(listed: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """Tiles of classes that long lists alone may link: (v, part, block, outside, cid, root, looked).
 
     A row for each long list that holds more than one component; members are dealt to parts, those
     outside the largest component, which meet every part, to blocks.
     """
     long = listed.where(F.col("size") > SHORT).select("cid", "v", "place")
     frequent = long.groupBy("cid").agg(F.count(F.lit(1)).alias("long"), F.sort_array(F.collect_list("v")).alias("all"))
-    mostly = state.join(frequent, "cid").where(F.col("have") - F.col("long") < RARE * F.col("have"))
-    inside = mostly.select("cid", "root", F.slice("all", 1, LOOKED_UP).alias("looked")).withColumn("v", F.explode("looked"))
+    # a partner lists min(have, percent * n) values at least, of which a tile demands this share in common
+    enough = F.col("long") >= F.lit(_least(percent)) * F.least(F.col("have"), F.ceil(F.col("n") * percent / 100))
+    inside = state.join(frequent, "cid").where(enough).select("cid", "root", F.slice("all", 1, LOOKED_UP).alias("looked")).withColumn("v", F.explode("looked"))
     each = inside.groupBy("v", "root").agg(F.count(F.lit(1)).alias("n"))
     split = each.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("big")).where("roots > 1")
     split = split.select("v", F.col("big.root").alias("big"), F.ceil(F.col("m") / PART).alias("parts"), F.ceil((F.col("m") - F.col("big.n")) / PART).alias("blocks"))

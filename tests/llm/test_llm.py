@@ -100,6 +100,19 @@ def test_minhash(docs, monkeypatch, short):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found) and minhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_minhash_own_values(spark):
+    """A copy with so many own values among its least ones that it meets its partners in long lists of high places only."""
+    r = random.Random(6)
+    say = lambda k: [f"v{r.randrange(10**9)}" for _ in range(k)]
+    words = sorted(say(5000), key=lambda w: int(minhash.shingles(w.encode(), 1)[0]))
+    low, base, high = words[:55], r.sample(words[60:4000], 500), words[4000:]
+    rows = [(0, " ".join(base))] + [(i, " ".join(base + say(100))) for i in range(1, 30)]
+    rows += [(40 + k, " ".join(base + low[a : a + k] + r.sample(high, 100 - k))) for a, k in ((0, 17), (17, 18), (35, 20))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=1).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in found) == brute_components(rows, 1, 80)
+    assert {x["component_id"] for x in found} == {0}
+
+
 @pytest.mark.parametrize("at_once", [graph.TASK_LINKS, 7])
 def test_components(spark, monkeypatch, at_once):
     monkeypatch.setattr(graph, "TASK_LINKS", at_once)
