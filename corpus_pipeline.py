@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.bpe import round_trip
 from quern.llm.common import WORD, Scratch, table
-from quern.llm.minhash import near_duplicates
+from quern.llm.minhash import one_of_each
 from quern.llm.mixing import mix_sources, training_order
 from quern.llm.quality import drop_low_quality
 from quern.llm.suffixes import repeated_spans
@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document of the smallest id stays."""
-    return near_duplicates(docs, words=5, percent=80).where("kept").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """Of each group of near copies (five words, similarity 0.8) the document of the smallest (id, content hash) stays."""
+    return one_of_each(docs, words=5, percent=80).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

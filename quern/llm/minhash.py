@@ -164,15 +164,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     only if it is alone. An empty table gives an empty result. Columns of the result's own names are
     replaced.
     """
+    docs = docs.drop("n_shingles", "component_id", "kept")
+    key = F.col(f"`{id}`")
+    group = F.coalesce("__first.id", key)
+    return _grouped(docs, words, percent, id, text).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__n").alias("n_shingles"), group.alias("component_id"), key.eqNullSafe(group).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without near copies: of each component the row of the smallest (id, content hash), null ids last.
+
+    Components are those of near_duplicates. One is told by its row, not by its id: of different
+    documents with null ids or with one repeated id each is kept. Rows without a set link with
+    nothing and are kept; of rows that repeat id and text one is kept, with a set or without.
+    """
+    rows = _grouped(docs, words, percent, id, text)
+    own = F.col("__first").isNull() | ((F.col("__first.k1") == F.col("__k1")) & (F.col("__first.k2") == F.col("__k2")))
+    return rows.where(own).dropDuplicates(["__k1", "__k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, id: str, text: str) -> DataFrame:
+    """All columns, row keys __k1 and __k2, the set's size __n and __first: the first row (none, id, k1, k2) of the component, null without a set."""
     checked(docs, id, text)
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "minhash")
-    docs = docs.drop("n_shingles", "component_id", "kept")
     key, body = F.col(f"`{id}`"), F.col(f"`{text}`")
     kind = docs.schema[id].dataType.simpleString()
     keyed = docs.withColumns(dict(zip(("__k1", "__k2"), row_keys(key, body), strict=True)))
     slim = keyed.select(key.alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), body.cast("binary").alias("text"))
     sets = scratch.save(slim.mapInArrow(_signatures(words), f"id {kind}, k1 long, k2 long, n long, s1 long, s2 long, low array<long>"), "sets")
-    classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("least"), F.min(F.struct("k1", "k2")).alias("at"), F.first("n").alias("n"), F.first("low").alias("low"))
+    classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("at"), F.first("n").alias("n"), F.first("low").alias("low"))
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     entries = classes.select("cid", "low", F.posexplode("low").alias("place", "v"))
     entries = entries.select("cid", "v", "place", F.try_element_at("low", F.col("place") + 2).alias("v2"), F.try_element_at("low", F.col("place") + 3).alias("v3"))
@@ -192,14 +211,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
         more = rest.join(values, "cid").groupBy("v", "part", "block").applyInArrow(_compare(percent), "a long, b long")
         more = scratch.save(more, "second-links")
         roots = components(inner.union(more), scratch, "roots-second")
-    member = classes.select("s1", "s2", "cid", "least").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    least = member.groupBy("root").agg(F.min("least").alias("component"))
-    member = member.join(least, "root").select("s1", "s2", "component")
-    found = sets.select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("n").alias("n_shingles"), "s1", "s2").join(member, ["s1", "s2"], "left").drop("s1", "s2")
-    group = F.coalesce("component", key)
-    found = found.groupBy("__a", "__b").agg(F.first("n_shingles").alias("n_shingles"), F.first("component").alias("component"))
-    out = keyed.join(found, (F.col("__k1") == F.col("__a")) & (F.col("__k2") == F.col("__b")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_shingles", group.alias("component_id"), key.eqNullSafe(group).alias("kept"))
+    member = classes.select("s1", "s2", "cid", "at").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    first = member.groupBy("root").agg(F.min("at").alias("first"))
+    member = member.join(first, "root").select("s1", "s2", "first")
+    found = sets.select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("n").alias("__n"), "s1", "s2").join(member, ["s1", "s2"], "left").drop("s1", "s2")
+    found = found.groupBy("__a", "__b").agg(F.first("__n").alias("__n"), F.first("first").alias("__first"))
+    return keyed.join(found, (F.col("__k1") == F.col("__a")) & (F.col("__k2") == F.col("__b")))
 
 
 def _rest(listed: DataFrame, state: DataFrame, percent: int) -> DataFrame:

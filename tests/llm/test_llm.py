@@ -290,3 +290,25 @@ def test_pipeline(spark, tmp_path):
             assert i == 3 or docs.count() <= n
     rows = docs.collect()
     assert rows and sorted(tuple(r) for r in rows) == sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+
+def test_near_copies_ids(spark):
+    """Null and repeated ids: different texts stay, of near copies and repeated rows one stays, whatever their ids."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    say = lambda k: [r.choice(WORDS) for _ in range(k)]
+    alone = [" ".join(say(50)) for _ in range(9)]
+    group = say(200)
+    near = [" ".join([*group[:-1], f"end{k}"]) for k in range(4)]
+    pair = [" ".join([*alone[8].split(), f"end{k}"]) for k in range(2)]
+    rows = [(None, x) for x in alone[:3]] + [(7, x) for x in alone[3:6]] + [(8, alone[6]), (8, alone[6])]
+    rows += [(7, near[0]), (7, near[1]), (None, near[2]), (9, near[3]), (None, pair[0]), (None, pair[1]), (None, None), (10, ""), (11, None), (12, alone[7])]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    got = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    single = [(i, x) for i, x in dict.fromkeys(rows) if x not in near and x not in pair]
+    assert kept.columns == list(corpus_pipeline.COLUMNS) and set(single) <= set(got) and len(got) == len(single) + 2
+    assert sum(x in near[:2] and i == 7 for i, x in got) == 1 and sum(x in pair and i is None for i, x in got) == 1
+    again = [(x["doc_id"], x["text"]) for x in corpus_pipeline.keep_one_of_near_copies(spark, docs.repartition(2), "").collect()]
+    assert set(again) == set(got) and corpus_pipeline.keep_one_of_near_copies(spark, empty(docs), "").count() == 0
