@@ -26,43 +26,81 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 _DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video map form button select option textarea input nav menu aside footer dialog datalist title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-#: Words of a class or an id that mark what is not the article.
+#: Class names, each a whole token, that mark what is not the article.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promoted promotion sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar "
     "comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations widget notice notices notification alert toolbar pagination pager search copyright skip outbrain taboola".split()
 )
+#: Whole ids that do; words that may well name a section of an article are not among them.
+_IDS = frozenset("ad ads adsense sidebar sidenav nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comments commentlist disqus newsletter pagination outbrain taboola".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _SPACE = re.compile(r"\s+")
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "parent", "children", "marked", "chars", "articles", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children = tag, parent, []
+        self.tag, self.parent, self.children, self.marked = tag, parent, [], False
 
 
-def _marked(tag: str, raw: str, inside: bool) -> bool:
-    """True for an element that its tag, role, class or id tells apart from the article."""
+def _attributes(raw: str) -> dict[str, str]:
+    return {} if not raw or raw.isspace() else {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
+
+
+def _hidden(tag: str, values: dict[str, str], inside: bool) -> bool:
+    """True for an element that its tag, role or style tells apart from the article."""
     if tag in _DROPPED:
         return True
     if tag == "header":
         return not inside
-    if not raw or raw.isspace() or tag in ("html", "body", "article", "main"):
-        if tag != "article" or not raw:
-            return False
-    values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
+    if tag in ("html", "body", "main"):
+        return False
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", values.get("style", ""), re.I):
         return True
-    if values.get("role", "").lower() in _ROLES:
-        return True
-    words = {w.lower() for w in _PART.findall(f"{values.get('class', '')} {values.get('id', '')}")}
-    return bool(words & _MARKS) or ("header" in words and not inside and tag not in ("h1", "h2", "h3"))
+    return values.get("role", "").lower() in _ROLES
+
+
+def _marked(tag: str, values: dict[str, str], inside: bool) -> bool:
+    """True for an element that a class or its id names as not the article; never a heading, nor inside article or main."""
+    if inside or tag in _HEADINGS or tag in ("html", "body", "main"):
+        return False
+    names, own = set(values.get("class", "").lower().split()), values.get("id", "").strip().lower()
+    return bool(names & _MARKS) or own in _IDS or "header" in names or own == "header"
+
+
+def prune(root: Node) -> None:
+    """Take marked subtrees out of the tree, but none that holds most of the page's text.
+
+    Such a one goes only where an article or main element with text stands outside it. Where
+    nothing would be left, all stay.
+    """
+    nodes, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        nodes.append(n)
+        todo += [c for c in n.children if isinstance(c, Node)]
+    if not any(n.marked for n in nodes):
+        return
+    for n in reversed(nodes):
+        n.chars = sum(c.chars if isinstance(c, Node) else len(c.strip()) for c in n.children)
+        n.articles = sum(c.articles for c in n.children if isinstance(c, Node)) + (n.tag in ("article", "main") and n.chars > 0)
+    goes = {id(n) for n in nodes if n.marked and (2 * n.chars <= root.chars or root.articles > n.articles)}
+    left, todo = 0, [root]
+    while todo:
+        for c in todo.pop().children:
+            if not isinstance(c, Node):
+                left += len(c.strip())
+            elif id(c) not in goes:
+                todo.append(c)
+    if left:
+        for n in nodes:
+            n.children = [c for c in n.children if id(c) not in goes]
 
 
 def parse(html: str) -> Node:
-    """The page's tree without what is marked as not the article; unclosed and stray tags are put up with."""
+    """The page's tree without what is told apart from the article; unclosed and stray tags are put up with."""
     root = Node("#root", None)
     at, pos, dropped, inside = root, 0, None, 0
 
@@ -113,7 +151,9 @@ def parse(html: str) -> Node:
                     at = at.parent
                     depth -= 1
         node = Node(tag, at)
-        hide = dropped is None and _marked(tag, m[3], inside > 0)
+        values = _attributes(m[3]) if dropped is None else {}
+        hide = dropped is None and _hidden(tag, values, inside > 0)
+        node.marked = dropped is None and not hide and _marked(tag, values, inside > 0)
         if dropped is None and not hide:
             at.children.append(node)
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "math"):
@@ -128,6 +168,7 @@ def parse(html: str) -> Node:
         inside += tag in ("article", "main")
         dropped = node if hide else dropped
     text(html[pos:])
+    prune(root)
     return root
 
 
@@ -241,6 +282,8 @@ def extract_pages(pages: DataFrame, html: str = "html", text: str = "text") -> D
 
     Null, empty and blank pages, and pages without text, have the empty text. Pages of any length
     are read whole; nesting beyond 2000 levels is read as if flat. Repeated rows each have a row.
+    Elements of a page's frame are left out by tag and role, and outside article and main by whole
+    class names and ids, unless most of the page's text is in them.
     Columns of the result's own names are replaced.
     """
     checked(pages, html)

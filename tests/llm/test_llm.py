@@ -275,6 +275,23 @@ def test_html(spark):
     assert any(k[0] == 5 and k[1] == "deep" for k in got)
 
 
+def test_html_names():
+    """Class names count as whole tokens only, never inside an article, for headings, or for most of the page's text."""
+    para = "<p>A paragraph of the article that is long enough to count, and then goes on for some more words.</p>"
+    text = "A paragraph of the article that is long enough to count, and then goes on for some more words."
+    body = f"<h2 id='related-work'>Related</h2>{para}<section id='discussion'><h2 class='menu'>Talk</h2>{para}</section><div class='notice'>{para}</div><div id='search-algorithms'>{para}</div>"
+    want = "\n\n".join(["Related", text, "Talk", text, text, text])
+    for wrap in ("<article class='post has-sidebar'>{}</article>", "<main class='no-sidebar'>{}</main>", "<div class='site no-sidebar'><article>{}</article></div>", "<div class='sidebar'><article class='widget'>{}</article></div>"):
+        page = PAGE.replace("@@", wrap.replace("{}", body))
+        assert html.main_text(page) == want
+    plain = f"<h2 id='related-work'>Related</h2>{para}<section id='discussion'><h2 class='menu'>Talk</h2>{para}</section>"
+    for wrap in ("<div class='content with-sidebar'>{}</div>", "<div class='widget'>{}</div>", "<div id='sidebar'>{}</div>"):
+        assert html.main_text(PAGE.replace("@@", wrap.replace("{}", plain))) == "\n\n".join(["Related", text, "Talk", text])
+    many = "".join(f"<p>Comment {k} is long as well, and it is not of the article.</p>" for k in range(30))
+    assert html.main_text(f"<body><article>{para}</article><div class='comments'>{many}</div></body>") == text
+    assert html.main_text(f"<body><div class='widget'>{para}</div><div class='widget'>{para}</div></body>") == f"{text}\n\n{text}"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
