@@ -14,6 +14,8 @@ QUOTE = r"^((?:[ \t]{0,3}>)+)[ \t]?"
 BLOCK = 4096
 #: A line that only says who is quoted.
 ATTRIBUTION = r"(?i)^[ \t]*(?:on\b.{0,300}|.{1,120}\b)(?:wrote|writes|said):[ \t]*$"
+#: Where a sentence ends: behind its mark, or at a blank line.
+SENTENCE = r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\n\s*\n"
 
 
 def normalised(text: Column) -> Column:
@@ -21,14 +23,34 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _pieces(texts: Column) -> Column:
+    """Hashes of the texts that are not blank when normalised, in order."""
+    return F.transform(F.filter(F.transform(texts, normalised), lambda x: x != ""), lambda x: F.xxhash64(x))
+
+
+def _runs(pieces: Column, counts: Column) -> Column:
+    """Hashes (h1, h2) of each run of so many adjacent pieces."""
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.size(pieces) - k + 1), lambda i: _run(F.slice(pieces, i, k)))
+    return F.flatten(F.transform(F.filter(counts, lambda k: k <= F.size(pieces)), of))
+
+
+def _run(pieces: Column) -> Column:
+    return F.struct(F.xxhash64(F.lit(2), pieces).alias("h1"), F.xxhash64(F.lit(3), pieces).alias("h2"))
+
+
 def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", rounds: int = 64) -> DataFrame:
     """Reply-ordered conversations without quotes, a row a message: all columns, and quote_depth, reply_to, root_turn, position, content, formatted.
 
     A line's quote level is the number of its leading marks. Consecutive lines of one level are a
     passage; it is normalised and hashed, and so are, for each message, its own passages (blank
-    lines part them), their lines and its whole own text. A passage belongs to the latest message
-    of the same conversation with a lower turn that has its hash; reply_to is the turn that the
-    longest linked passage of level 1 belongs to (ties: the later turn). root_turn is where the
+    lines part them), their lines and its whole own text. A passage is also hashed as a run of so
+    many lines and a run of so many sentences, and each of its lines and sentences alone; messages
+    hash every run of their adjacent lines (blank ones left out) and sentences of the counts that the
+    conversation's passages have. So a passage of some lines or sentences of a message, or of
+    paragraphs whose blank line went, is found too, and of an altered one the lines or sentences that
+    are whole; words within a sentence and line alone are not. A passage or piece belongs to the latest
+    message of the same conversation with a lower turn that has one of its hashes; reply_to is the
+    turn that the longest linked one of level 1 belongs to (ties: the later turn). root_turn is where the
     chain of replies starts. position counts a conversation's messages from 0 by (root_turn, turn):
     replies stand after what they answer, threads by their first message; without links this is
     the order of turns. content is the text without quoted lines and the lines that announce them;
@@ -60,16 +82,28 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     by = W.partitionBy("__c", "__t", "m").orderBy("i")
     marked = marked.withColumn("new", (F.coalesce(F.lag("level").over(by), F.lit(-1)) != F.col("level")) | (F.trim("rest") == ""))
     marked = marked.withColumn("passage", F.sum(F.col("new").cast("int")).over(by))
-    passages = marked.where("level > 0").groupBy("__c", "__t", "m", "level", "passage").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "rest"))), lambda x: x["rest"]), " ").alias("said"))
-    passages = passages.withColumn("said", normalised(F.col("said"))).where("said != ''").select("__c", "__t", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"), F.when(F.col("level") == 1, F.length("said")).alias("size")).distinct()
+    passages = marked.where("level > 0").groupBy("__c", "__t", "m", "level", "passage").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "rest"))), lambda x: x["rest"]).alias("parts"))
+    said, sentences = normalised(F.array_join("parts", " ")), F.split(F.array_join("parts", " "), SENTENCE)
+    passages = passages.withColumns({"said": said, "sentences": sentences}).where("said != ''")
+    passages = passages.withColumns({"by_line": _pieces(F.col("parts")), "by_sentence": _pieces(F.col("sentences"))})
+    whole = F.array(F.struct(F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"), F.length("said").alias("size")))
+    sized = lambda run, size: F.struct(run["h1"].alias("h1"), run["h2"].alias("h2"), size.alias("size"))
+    runs = F.transform(F.array("by_line", "by_sentence"), lambda x: sized(_run(x), F.length("said")))
+    alone = F.transform(F.filter(F.transform(F.concat("parts", "sentences"), normalised), lambda x: x != ""), lambda x: sized(_run(F.array(F.xxhash64(x))), F.length(x)))
+    passages = passages.select("__c", "__t", "level", F.size("by_line").alias("lines"), F.size("by_sentence").alias("sentences"), F.explode(F.concat(whole, runs, alone)).alias("u"))
+    passages = passages.select("__c", "__t", "lines", "sentences", "u.h1", "u.h2", F.when(F.col("level") == 1, F.col("u.size")).alias("size")).distinct()
     passages = scratch.save(passages, "passages")
     if passages.isEmpty():
         linked = rows.withColumns({"reply_to": F.lit(None).cast("long"), "root_turn": F.col("__t")})
     else:
         units = F.array_distinct(F.flatten(F.array(F.array("content"), F.split("content", r"\n\s*\n"), F.split("content", "\n"))))
-        said = rows.where("__t IS NOT NULL").join(passages.select(F.col("__c").alias("pc")).distinct(), F.col("__c").eqNullSafe(F.col("pc")), "left_semi")
-        said = said.select("__c", "__t", F.explode(F.transform(units, normalised)).alias("said")).where("said != ''").select("__c", "__t", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2")).distinct()
-        both = said.withColumn("size", F.lit(None).cast("int")).withColumn("own", F.lit(True)).unionByName(passages.withColumn("own", F.lit(False)))
+        one = F.array(F.lit(1))
+        counts = passages.groupBy(F.col("__c").alias("pc")).agg(F.array_union(F.collect_set("lines"), one).alias("lines"), F.array_union(F.collect_set("sentences"), one).alias("sentences"))
+        said = rows.where("__t IS NOT NULL").join(counts, F.col("__c").eqNullSafe(F.col("pc")))
+        texts = F.transform(F.filter(F.transform(units, normalised), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")))
+        said = said.withColumns({"by_line": _pieces(F.split("content", "\n")), "by_sentence": _pieces(F.split("content", SENTENCE)), "texts": texts})
+        said = said.select("__c", "__t", F.explode(F.concat("texts", _runs(F.col("by_line"), F.col("lines")), _runs(F.col("by_sentence"), F.col("sentences")))).alias("u")).select("__c", "__t", "u.h1", "u.h2").distinct()
+        both = said.withColumn("size", F.lit(None).cast("int")).withColumn("own", F.lit(True)).unionByName(passages.drop("lines", "sentences").withColumn("own", F.lit(False)))
         earlier = F.last(F.when(F.col("own"), F.col("__t")), ignorenulls=True).over(W.partitionBy("__c", "h1", "h2").orderBy("__t").rangeBetween(W.unboundedPreceding, -1))
         found = both.withColumn("to", earlier).where("NOT own AND to IS NOT NULL AND size IS NOT NULL")
         replies = found.groupBy("__c", "__t").agg(F.max(F.struct("size", "to"))["to"].alias("to")).select(F.col("__c").alias("rc"), F.col("__t").alias("rt"), "to")

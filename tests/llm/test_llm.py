@@ -206,6 +206,22 @@ def test_chat(spark):
     assert got[1, 1]["formatted"] == "<|assistant|>\nFine.<|end|>\n" and chat.link_quotations(df).count() == len(rows) and chat.link_quotations(empty(df)).count() == 0
 
 
+def test_chat_parts(spark):
+    """Quotes of some lines, of a sentence, of paragraphs whose blank line went, and of an altered passage."""
+    four = "The first of lines\nA second line here\nThen the third one\nAnd a fourth"
+    rows = [
+        (1, 0, four), (1, 1, "Nothing to see."), (1, 2, "> A second line here\n> then the THIRD one\nYes."),
+        (1, 3, "Then the third one"), (1, 4, "> A second line here\n> Then the third one\nStill."), (1, 5, "> Then the third one\nNow."),
+        (2, 0, "We met at noon. The plan is (as said) to wait. Nobody minds!\n\nA further paragraph. It ends here."), (2, 1, "Other words."),
+        (2, 2, "> The plan is (as said) to wait.\nFine."), (2, 3, "> Nobody minds!\n> A further paragraph. It ends here.\nGood."), (2, 4, "> We met at noon. The plan is\n> (as said) to wait.\nSo."),
+        (2, 5, "> Nobody minds! Words that no one said\nHm."), (2, 6, "> nothing of this\n> was ever said\nOh."), (3, 0, four), (3, 1, ">> And a fourth\nDeep."), (None, 0, four), (None, 1, "> A second line here\n> Then the third one"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.link_quotations(df).collect()}
+    want = {(1, 2): 0, (1, 4): 0, (1, 5): 3, (2, 2): 0, (2, 3): 0, (2, 4): 0, (2, 5): 0, (None, 1): 0}
+    assert got == {(c, t): want.get((c, t)) for c, t, _ in rows}
+
+
 def test_chat_positions(spark, monkeypatch):
     """A thread that most turns answer, turns without one, rows without a turn, in blocks of 4."""
     monkeypatch.setattr(chat, "BLOCK", 4)
