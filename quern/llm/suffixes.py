@@ -12,8 +12,10 @@ from .common import Scratch, checked, row_keys, table, text_slices
 
 #: Bytes that a repeated string has at least, and the bytes whose hash orders positions (a gram).
 LENGTH, GRAM = 400, 16
-#: Suffixes that one bucket holds on average; suffixes sharing leading bytes beyond HOT are compared by counts.
-BUCKET, HOT = 12_000, 20_000
+#: Suffixes of a bucket: one ends at the next boundary after BUCKET; HOT bounds those that share a key.
+BUCKET, HOT = 6_000, 2_000
+#: Suffixes of a range partition, which holds many buckets, and bytes of a text whose grams are hashed at once.
+RANGE, CHUNK = 100_000, 1 << 18
 #: Parts that the rows of one key are dealt to; at most 64, the bits of a mask.
 SLOTS = 64
 
@@ -45,19 +47,36 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
 
 
 def anchors(text: bytes, shape: Shape) -> np.ndarray:
-    """Positions whose gram is the least of some window: content alone decides, in each window one or more."""
-    n = len(text) - GRAM + 1
+    """Positions whose gram is the least of some window: content alone decides, in each window one or more.
+
+    A long text is read in chunks that overlap by a window on both sides, all a position's windows
+    being within its chunk, so memory does not grow with the text.
+    """
+    n, edge = len(text) - GRAM + 1, shape.window - 1
     if len(text) < shape.length:
         return np.zeros(0, np.int64)
+    chosen = []
+    for lo in range(0, n, CHUNK):
+        hi, a, b = min(n, lo + CHUNK), max(0, lo - edge), min(n, lo + CHUNK + edge)
+        at = np.flatnonzero(_least_in_window(text[a : b + GRAM - 1], shape.window)) + a
+        chosen.append(at[(at >= lo) & (at < hi)])
+    found = np.concatenate(chosen)
+    return found[(found >= shape.near) & (found + shape.lead <= len(text))]
+
+
+def _least_in_window(text: bytes, window: int) -> np.ndarray:
+    """For each gram, whether its hash is the least of a whole window of grams in text."""
+    n = len(text) - GRAM + 1
+    if n < window:
+        return np.zeros(n, bool)
     a, b = (np.ndarray((n,), "<u8", text, at, (1,)) for at in (0, 8))
     h = a * np.uint64(0x9E3779B97F4A7C15) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    least = _slide(h, shape.window, np.minimum)
-    edge = np.zeros(shape.window - 1, np.uint64)
-    chosen = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), shape.window, np.maximum) == h)
-    return chosen[(chosen >= shape.near) & (chosen + shape.lead <= len(text))]
+    least = _slide(h, window, np.minimum)
+    edge = np.zeros(window - 1, np.uint64)
+    return _slide(np.concatenate([edge, least, edge]), window, np.maximum) == h
 
 
 def multikey_quicksort(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -108,9 +127,11 @@ def _padded(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.array([len(v) for v in values], np.int64)
 
 
-def repeated_offsets(lefts: list[bytes], rights: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+def repeated_offsets(lefts: list[bytes], rights: list[bytes], shape: Shape, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each anchor, the least and most bytes before it at which a repeated string starts; -1: none.
 
+    low, high: the least and most bytes that each row is asked for; by default all.
+
     rights are the suffixes from the anchors, lefts the bytes before them, read backwards. Both are
     sorted; strings that share d bytes are a run of the sorted order whose common prefixes are d or
     more. A string with o bytes before its anchor is repeated where another anchor is in the same
@@ -118,6 +139,8 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], shape: Shape) -> t
     """
     n = len(rights)
     least, most = np.full(n, -1), np.full(n, -1)
+    low = np.full(n, shape.near) if low is None else low
+    high = np.full(n, shape.far) if high is None else high
     (r, rn), (f, fn) = _padded(rights, shape.right), _padded(lefts, shape.far)
     order_r, order_f = multikey_quicksort(r, rn), multikey_quicksort(f, fn)
     shared_r, shared_f = common_prefixes(r, rn, order_r), common_prefixes(f, fn, order_f)
@@ -127,7 +150,7 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], shape: Shape) -> t
     most_f[order_f] = np.maximum(shared_f, np.append(shared_f[1:], 0))
     run_r, run_f = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(shape.near, shape.far + 1):
-        fits = np.flatnonzero((most_r >= shape.length - o) & (most_f >= o))
+        fits = np.flatnonzero((most_r >= shape.length - o) & (most_f >= o) & (low <= o) & (o <= high))
         if len(fits) < 2:
             continue
         run_r[order_r] = np.cumsum(shared_r < shape.length - o)
@@ -154,12 +177,13 @@ def _slots() -> Column:
     return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.bit_get(F.col("mask"), k) == 1)).alias("slot")
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, as_text: bool = False, words: int = 0) -> DataFrame:
     """Bytes covered by a string of `length` bytes that starts anywhere else too: all columns, and n_bytes, spans, kept.
 
     spans: array of (start, stop), the maximal covered runs of the text's UTF-8 bytes, judged on the
     input, overlaps included; kept: the other bytes, as binary, or with as_text as a string, in which
-    halves of a character that a cut leaves are dropped.
+    halves of a character that a cut leaves are dropped. With `words`, a run that holds fewer whole
+    words (WORD) than that stays in the text and is no span.
 
     Suffixes are sampled by content: a position is an anchor where its 16-byte gram hashes least in
     some window of half of `length`, about one position in 90. Every string of `length` bytes has
@@ -169,11 +193,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     2. Anchors with the same full surroundings are one class; a class of two or more is covered as
        far as these reach. Copies end here, however many there are.
     3. Other classes that share leading bytes with a different class are suffixes to sort: sampled
-       splitters over the leading bytes, then step 1's hash, range-partition them, each bucket is sorted by multikey
-       quicksort, forwards from the anchor and backwards before it, and neighbours are compared.
-       Splitters are cut on the bytes that any match shares, so no match lies across a boundary.
-       Such bytes with more than HOT classes would make a bucket too large: their strings are
-       counted by hash across all tasks instead, with partial sums, which is exact as well.
+       splitters over the leading bytes, then step 1's hash, range-partition them; within a
+       partition each bucket, cut where the key changes, is sorted by multikey quicksort, forwards
+       from the anchor and backwards before it, and neighbours are compared. Keys are made of bytes
+       that any match shares, so no match lies across a boundary. More than HOT classes of one key
+       are split by deeper bytes: strings that start lo..hi bytes before the anchor share lo bytes
+       before it and length - hi after it, so each half of the offsets has a longer key of its own,
+       and so on; at a single offset the key is the whole string, and equal keys are its repeats.
     4. The classes' reach goes back to all their anchors, and a document's spans are joined to it.
 
     Surroundings are compared by 64-bit (step 1, which may only keep too many) and 128-bit hashes.
@@ -214,15 +240,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("m"), _mask(by_class)).where("m > 1").select("g", "m", _slots())
     open_ = classes.drop("mask").withColumn("slot", by_class).join(several, ["g", "slot"]).select("g", "c1", "c2", "n", "m", "at.*").withColumn("slot", by_row)
     wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "g", "c1", "c2", "slot", "n", "m")).alias("of"))
+    names = ("g", "c1", "c2", "slot", "n", "m")
 
     def surroundings(batches):
-        kinds = [pa.field("g", pa.int64()), pa.field("c1", pa.int64()), pa.field("c2", pa.int64()), pa.field("slot", pa.int32()), pa.field("n", pa.int64()), pa.field("m", pa.int64()), pa.field("before", pa.binary()), pa.field("after", pa.binary())]
+        kinds = [*[pa.field(c, pa.int32() if c == "slot" else pa.int64()) for c in names], pa.field("before", pa.binary()), pa.field("after", pa.binary())]
         for batch in batches:
             for start, texts in text_slices(batch):
                 out = {f.name: [] for f in kinds}
                 for x, of in zip(texts, batch.column("of").slice(start, len(texts)).to_pylist(), strict=True):
                     for a in of:
-                        for c in ("g", "c1", "c2", "slot", "n", "m"):
+                        for c in names:
                             out[c].append(a[c])
                         p = a["pos"]
                         out["before"].append(x[max(0, p - shape.far) : p][::-1])
@@ -231,51 +258,87 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
 
     # repeated rows have one key, and one of them is enough
     around = slim.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "of").mapInArrow(surroundings, "g long, c1 long, c2 long, slot int, n long, m long, before binary, after binary")
-    around = scratch.save(around, "around")
-
-    def bucket(batches):
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
-            return
-        t = pa.Table.from_batches(batches)
-        least, most = repeated_offsets(t["before"].to_pylist(), t["after"].to_pylist(), shape)
+    around = scratch.save(around.withColumns({"lo": F.lit(shape.near), "hi": F.lit(shape.far), "key": F.col("g")}), "around")
+    sortable, equal = _split(around, scratch, shape)
+
+    def bucket(rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows)
+        least, most = repeated_offsets(t["before"].to_pylist(), t["after"].to_pylist(), shape, t["lo"].to_numpy(), t["hi"].to_numpy())
         hit = np.flatnonzero((most >= 0) & (t["n"].to_numpy() == 1))
         t = t.take(pa.array(hit)).select(["g", "c1", "c2", "slot"])
         t = t.append_column("back", pa.array(most[hit].astype(np.int32))).append_column("on", pa.array((shape.length - least[hit]).astype(np.int32)))
-        yield from t.to_batches()
-
-    def strings(batches):
-        for b in batches:
-            rows, o, h1, h2 = [], [], [], []
-            for i, (before, after) in enumerate(zip(b.column("before").to_pylist(), b.column("after").to_pylist(), strict=True)):
-                x, p = before[::-1] + after, len(before)
-                for k in range(max(shape.near, shape.length - len(after)), min(shape.far, p) + 1):
-                    h = xxhash.xxh3_128_intdigest(x[p - k : p - k + shape.length])
-                    rows.append(i)
-                    o.append(k)
-                    h1.append((h >> 64) - (1 << 63))
-                    h2.append((h & (1 << 64) - 1) - (1 << 63))
-            part = b.select(["g", "c1", "c2", "slot", "n"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(o, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["g", "c1", "c2", "slot", "n", "o", "h1", "h2"])
-
-    # the leading token, then the hash of the bytes that any match shares: at most HOT classes have both in common
-    lead = (F.substring("after", 1, GRAM), F.col("g"))
-    usual = around.where(F.col("m") <= HOT)
-    buckets = max(1, -(-usual.count() // BUCKET))
-    reach = usual.repartitionByRange(buckets, *lead).mapInArrow(bucket, "g long, c1 long, c2 long, slot int, back int, on int")
-    each = around.where(F.col("m") > HOT).select("g", "c1", "c2", "slot", "n", "before", "after").mapInArrow(strings, "g long, c1 long, c2 long, slot int, n long, o int, h1 long, h2 long")
-    again = each.groupBy("o", "h1", "h2").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    counted = each.where("n = 1").join(again, ["o", "h1", "h2"]).groupBy("g", "c1", "c2", "slot").agg(F.max("o").alias("back"), (F.lit(length) - F.min("o")).alias("on"))
+        return t.to_batches()
+
+    def buckets(batches):
+        """A partition's rows come sorted by key: buckets of BUCKET rows and what is left of the last key."""
+        held, n, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lo = batch.column("key").to_numpy(), batch.column("lo").to_numpy()
+            change = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1])
+            ends = [*([0] if last != (key[0], lo[0]) else []), *(np.flatnonzero(change) + 1).tolist()]
+            start = 0
+            for e in ends:
+                if n + e - start >= BUCKET:
+                    held.append(batch.slice(start, e - start))
+                    yield from bucket(held)
+                    held, n, start = [], 0, e
+            held.append(batch.slice(start))
+            n, last = n + batch.num_rows - start, (key[-1], lo[-1])
+        if n:
+            yield from bucket(held)
+
+    # the union's rows of one class have ranges of offsets that do not overlap, so they never meet
+    order = (F.substring("after", 1, GRAM), F.col("lo"), F.col("key"))
+    ranged = sortable.repartitionByRange(max(1, -(-sortable.count() // RANGE)), *order).sortWithinPartitions(*order)
+    reach = ranged.select("g", "c1", "c2", "slot", "n", "before", "after", "lo", "hi", "key").mapInArrow(buckets, "g long, c1 long, c2 long, slot int, back int, on int")
+    if equal is not None:
+        reach = reach.unionByName(equal.where("n = 1").select("g", "c1", "c2", "slot", F.col("lo").alias("back"), (F.lit(length) - F.col("lo")).alias("on")))
+        reach = reach.groupBy("g", "c1", "c2", "slot").agg(F.max("back").alias("back"), F.max("on").alias("on"))
     whole = classes.where("n > 1").select("g", "c1", "c2", _slots(), F.lit(shape.far).alias("back"), F.lit(shape.right).alias("on"))
-    reach = whole.unionByName(reach).unionByName(counted)
+    reach = whole.unionByName(reach)
     spans = met.join(reach, ["g", "c1", "c2", "slot"]).select("k1", "k2", F.greatest(F.lit(0), F.col("pos") - F.col("back")).alias("start"), (F.col("pos") + F.col("on")).alias("stop"))
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
     spans = scratch.save(spans, "spans")
     scratch.drop("met", "classes", "around")
-    return _cut(keyed.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left"), docs.columns, text, as_text)
+    return _cut(keyed.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left"), docs.columns, text, as_text, words)
+
 
+def _split(around: DataFrame, scratch: Scratch, shape: Shape) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (lo, hi, key) of at most HOT a key, to be sorted; and rows of one offset whose keys are equal strings.
 
-def _cut(joined: DataFrame, columns: list[str], text: str, as_text: bool) -> DataFrame:
+    Each round halves the offsets of the keys that are still hot, so there are as many rounds as
+    the range of offsets has bits.
+    """
+    sortable, equal = around.where(F.col("m") <= HOT), None
+    hot, k = around.where(F.col("m") > HOT), 0
+    while not hot.isEmpty():
+        k += 1
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct("lo", middle.alias("hi")), F.struct((middle + 1).alias("lo"), "hi"))).alias("part")
+        parts = hot.drop("m", "key").withColumn("part", halves).withColumns({"lo": F.col("part.lo"), "hi": F.col("part.hi")}).drop("part")
+        parts = parts.where((F.octet_length("before") >= F.col("lo")) & (F.octet_length("after") >= F.lit(shape.length) - F.col("hi")))
+        # lo bytes before the anchor and length - hi after it: what all strings of these offsets share
+        bytes_ = (F.col("lo"), F.substring("before", F.lit(1), F.col("lo")), F.substring("after", F.lit(1), F.lit(shape.length) - F.col("hi")))
+        parts = scratch.save(parts.withColumns({"key": F.xxhash64(*bytes_), "key2": F.xxhash64(F.lit(2), *bytes_)}), f"parts-{k}")
+        sizes = parts.groupBy("lo", "key", "key2").agg(F.count(F.lit(1)).alias("m"), _mask(F.col("slot"))).where("m > 1").select("lo", "key", "key2", "m", _slots())
+        parts = scratch.save(parts.join(sizes, ["lo", "key", "key2", "slot"]).drop("key2"), f"around-{k}")
+        scratch.drop(f"parts-{k}")
+        sortable = sortable.unionByName(parts.where((F.col("m") <= HOT) & (F.col("lo") < F.col("hi"))))
+        equal = parts.where("lo = hi") if equal is None else equal.unionByName(parts.where("lo = hi"))
+        hot = parts.where((F.col("m") > HOT) & (F.col("lo") < F.col("hi")))
+    return sortable, equal
+
+
+def _whole_words(x: bytes, start: int, stop: int) -> int:
+    """Words that lie in x[start:stop] with both ends."""
+    part = x[start:stop]
+    inside = lambda i: 0 < i < len(x) and not x[i - 1 : i].isspace() and not x[i : i + 1].isspace()
+    return len(part.split()) - inside(start) - inside(stop)
+
+
+def _cut(joined: DataFrame, columns: list[str], text: str, as_text: bool, words: int = 0) -> DataFrame:
     """Merge each row's spans and cut them out."""
     keep = [c for c in columns if c != text]
     source = joined.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("binary").alias("text"), "__spans")
@@ -294,6 +357,8 @@ def _cut(joined: DataFrame, columns: list[str], text: str, as_text: bool) -> Dat
                             runs[-1][1] = max(runs[-1][1], e)
                         else:
                             runs.append([s, e])
+                    if words:
+                        runs = [r for r in runs if _whole_words(x, *r) >= words]
                     ends = [0, *[v for r in runs for v in r], len(x)]
                     kept.append(b"".join(x[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2)))
                     merged.append([{"start": s, "stop": e} for s, e in runs])

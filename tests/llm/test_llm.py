@@ -56,13 +56,45 @@ def test_suffixes(docs):
     assert sum(len(r["spans"]) > 0 for r in rows) > 15 and suffixes.repeated_spans(empty(docs)).count() == 0
 
 
-def test_suffixes_by_counts(docs, monkeypatch):
+def test_suffixes_split(docs, monkeypatch):
+    """Hot keys split by deeper bytes, small buckets, texts in small chunks: the same spans."""
     want = {(r["doc_id"], bytes(r["kept"])) for r in suffixes.repeated_spans(docs, length=128).collect()}
-    monkeypatch.setattr(suffixes, "HOT", 2)
-    assert {(r["doc_id"], bytes(r["kept"])) for r in suffixes.repeated_spans(docs, length=128).collect()} == want
-    monkeypatch.setattr(suffixes, "HOT", 20_000)
-    monkeypatch.setattr(suffixes, "BUCKET", 3)
-    assert {(r["doc_id"], bytes(r["kept"])) for r in suffixes.repeated_spans(docs, length=128).collect()} == want
+    for name, value in (("HOT", 2), ("BUCKET", 3), ("CHUNK", 100)):
+        monkeypatch.setattr(suffixes, name, value)
+        assert {(r["doc_id"], bytes(r["kept"])) for r in suffixes.repeated_spans(docs, length=128).collect()} == want
+
+
+def test_suffixes_hot_key(spark, monkeypatch):
+    """One passage in many texts, with edits near it: every class of its anchors has the same key, some strings repeat."""
+    monkeypatch.setattr(suffixes, "HOT", 8)
+    r = random.Random(12)
+    say = lambda k: " ".join(r.choice(WORDS) for _ in range(k))
+    shared, edge = say(30), [say(20) for _ in range(6)]
+    texts = [f"{say(9)} {r.choice(edge)[: r.randrange(60)]}{shared[r.randrange(30) : 160 - r.randrange(60)]}{r.choice(edge)[: r.randrange(60)]} {say(9)}" for _ in range(300)]
+    rows = suffixes.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), length=100).collect()
+    seen = {}
+    for x in texts:
+        for i in range(len(x) - 99):
+            seen[x[i : i + 100]] = seen.get(x[i : i + 100], 0) + 1
+    for row in rows:
+        x, cover = row["text"], bytearray(len(row["text"]))
+        for i in range(len(x) - 99):
+            if seen[x[i : i + 100]] > 1:
+                cover[i : i + 100] = b"\1" * 100
+        assert [(s["start"], s["stop"]) for s in row["spans"]] == [m.span() for m in re.finditer(b"\1+", bytes(cover))]
+    assert 20 < sum(len(row["spans"]) > 0 for row in rows) < 300
+
+
+def test_suffixes_words(spark):
+    """With `words`, runs of fewer whole words stay."""
+    r = random.Random(13)
+    say = lambda k: " ".join(r.choice(WORDS) + str(r.randrange(10**6)) for _ in range(k))
+    long, short = say(30), say(15)
+    texts = [f"{say(8)} {x} {say(8)}" for x in (long, long, short, short)]
+    for words, want in ((0, [1, 1, 1, 1]), (20, [1, 1, 0, 0])):
+        rows = sorted(suffixes.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=100, words=words, as_text=True).collect())
+        assert [len(x["spans"]) for x in rows] == want and all((s in x["kept"]) == (n == 0) for x, s, n in zip(rows, (long, long, short, short), want, strict=True))
+    assert suffixes._whole_words(b"one two three four", 2, 11) == 1 and suffixes._whole_words(b"one two three", 4, 13) == 2
 
 
 def test_multikey_quicksort():
@@ -309,7 +341,7 @@ def test_html_names():
 
 
 def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
+    from quern.llm import pipeline as corpus_pipeline
 
     for t in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
@@ -327,7 +359,7 @@ def test_pipeline(spark, tmp_path):
 
 def test_near_copies_ids(spark):
     """Null and repeated ids: different texts stay, of near copies and repeated rows one stays, whatever their ids."""
-    import corpus_pipeline
+    from quern.llm import pipeline as corpus_pipeline
 
     r = random.Random(8)
     say = lambda k: [r.choice(WORDS) for _ in range(k)]
