@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable
-from itertools import chain
+import re
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import checked, small_batches, table, text_slices
 
-#: Words whose ids a task remembers; beyond it forgets them all and goes on.
-REMEMBERED = 400_000
-NONE = 1 << 40
+#: Bytes of text, and different units, whose words are replayed together by a task; what comes after is the next lot.
+LOT, UNITS = 32 << 20, 500_000
+NONE = 1 << 30
+#: A unit that is one word of letters, as any split pattern of the kind has it.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -37,19 +41,22 @@ def default_pattern() -> str:
 
 
 class MergeReplay:
-    """Encodes many words at once by replaying the merges, in rank order, at all of their places in all words.
+    """Encodes the words of many texts at once: every merge is replayed, in rank order, at all of its places.
 
-    An inverted index holds, by rank, the positions where a pair stands, in all words. Words do not
-    touch each other, so the replay takes from the index, in one wave, each word's entries of its
-    lowest rank, from left to right; every word's merges so come in rank order. A merge ends its
-    pair's entry and changes those of the two neighbouring pairs alone. Words without an entry
-    leave. The number of waves is that of the merges in the word that has most.
+    The different words stand one after another, parted by a gap. An inverted index leads from each
+    pair (by the rank of the token that it makes) to its positions in all words. Ranks are taken
+    from the lowest; a rank's positions come from the index, are merged together, and only the
+    pairs with the two neighbours of each change: their new positions are entered under their own
+    ranks, and what was entered for a pair that is gone is passed over when its rank comes.
+
+    A new pair may have a rank below the one at hand, where a vocabulary has a token before the
+    tokens that it is made of here. A word with such a pair is replayed on its own, merge by merge,
+    so the ids are always those of the lowest rank, leftmost first.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {i: b for b, i in ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
         # each pair that makes a token, whatever the split: at most one for each inner place of a token
         pairs = {}
         for token, rank in ranks.items():
@@ -57,123 +64,256 @@ class MergeReplay:
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a << 24 | b] = rank
+        self.pairs = pairs
         self.codes = np.array(sorted(pairs), np.int64)
-        self.code_ranks = np.array([pairs[c] for c in self.codes.tolist()], np.int64)
-        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.code_ranks = np.array([pairs[c] for c in self.codes.tolist()], np.int32)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        # a match of the usual pattern never goes on from a text's solid part into white space: units are split there first
+        blank = "".join(c for c in map(chr, range(0x3001)) if regex.fullmatch(r"\s", c))
+        self.units = re.compile(f"[{blank}]*[^{blank}]+|[{blank}]+") if pattern == default_pattern() else None
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        code = left << 24 | right
+        """The rank of the token that each pair makes; NONE where it makes none, or where one side is a gap."""
         if not len(self.codes):
-            return np.full(len(code), NONE)
+            return np.full(len(left), NONE, np.int32)
+        code = left.astype(np.int64) << 24 | right
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.code_ranks[at], NONE)
-
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each word. A word that is a token is that token."""
-        out: list[tuple[int, ...]] = [()] * len(words)
-        open_ = []
-        for i, w in enumerate(words):
-            r = self.ranks.get(w)
-            if r is None:
-                open_.append(i)
-            else:
-                out[i] = (r,)
-        if not open_:
-            return out
-        sizes = np.array([len(words[i]) for i in open_])
-        token = self.single[np.frombuffer(b"".join([words[i] for i in open_]), np.uint8)]
-        if (token < 0).any():
+        return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.code_ranks[at], NONE).astype(np.int32)
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word: (ids of all, where each word's begin, and the end)."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        total = int(starts[-1]) + 1
+        token = np.full(total, -1, np.int32)
+        inner = np.ones(total, bool)
+        inner[starts] = False
+        token[inner] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        if (token[inner] < 0).any():
             raise ValueError("the vocabulary lacks a byte")
-        word = np.repeat(np.arange(len(open_)), sizes)
-        # entries of the index, at the positions of their pairs; NONE where no token is made
-        entry = np.append(np.where(word[1:] == word[:-1], self._ranks(token[:-1], token[1:]), NONE), NONE)
-        done = []
-        while len(token):
-            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            lowest = np.repeat(np.minimum.reduceat(entry, starts), np.diff(np.append(starts, len(word))))
-            if (over := lowest == NONE).any():
-                done.append((word[over], token[over]))
-                token, word, entry, lowest = (x[~over] for x in (token, word, entry, lowest))
-                if not len(token):
-                    break
-            hit = np.flatnonzero(entry == lowest)
+        after, before = np.arange(1, total + 1, dtype=np.int32), np.arange(-1, total - 1, dtype=np.int32)
+        after[-1] = total - 1
+        before[0] = 0
+        # the index: entry is the rank of the pair that a position begins; places[rank] are lists of positions
+        entry = np.full(total, NONE, np.int32)
+        entry[:-1] = self._ranks(token[:-1], token[1:])
+        first = np.flatnonzero(entry < NONE)
+        by_rank = first[np.argsort(entry[first], kind="stable")].astype(np.int32)
+        places: dict[int, list[np.ndarray]] = {}
+        self._enter(places, by_rank, entry[by_rank])
+        odd: list[np.ndarray] = []
+        top = int(self.code_ranks.max()) + 1 if len(self.code_ranks) else 0
+        for rank in range(top):
+            lists = places.pop(rank, None)
+            if lists is None:
+                continue
+            at = np.concatenate(lists)
+            at = np.unique(at[entry[at] == rank])
+            if not len(at):
+                continue
             # pairs of one rank that overlap, as in a run of one letter: the leftmost, then every other
-            run = np.flatnonzero(np.append(True, np.diff(hit) > 1))
-            hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
-            token[hit] = entry[hit]
-            keep = np.ones(len(token), bool)
-            keep[hit + 1] = False
-            at = (np.cumsum(keep) - 1)[hit]
-            token, word, entry = token[keep], word[keep], entry[keep]
-            for p in (at, at[at > 0] - 1):
-                q = np.minimum(p + 1, len(token) - 1)
-                entry[p] = np.where((q > p) & (word[q] == word[p]), self._ranks(token[p], token[q]), NONE)
-        word, token = (np.concatenate([d[k] for d in done]) for k in (0, 1))
-        order = np.argsort(word, kind="stable")
-        cuts = np.searchsorted(word[order], np.arange(len(open_) + 1)).tolist()
-        token = token[order].tolist()
-        for k, i in enumerate(open_):
-            out[i] = tuple(token[cuts[k] : cuts[k + 1]])
-        return out
+            overlaps = after[at[:-1]] == at[1:]
+            if overlaps.any():
+                begins = np.flatnonzero(np.append(True, ~overlaps))
+                at = at[(np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))) % 2 == 0]
+            gone = after[at]
+            token[at], entry[gone], token[gone] = rank, NONE, -2
+            beyond = after[gone]
+            after[at] = beyond
+            before[beyond] = at
+            left = before[at]
+            changed = np.concatenate([left, at])
+            new = self._ranks(token[changed], token[after[changed]])
+            entry[changed] = new
+            if (new < rank).any():
+                odd.append(changed[new < rank])
+            keep = new < NONE
+            changed, new = changed[keep], new[keep]
+            order = np.argsort(new, kind="stable")
+            self._enter(places, changed[order], new[order])
+        alive = np.flatnonzero(token >= 0)
+        ends = np.searchsorted(alive, starts)
+        ids = token[alive]
+        if odd:
+            ids, ends = self._again(words, ids, ends, set((np.searchsorted(starts, np.concatenate(odd), "right") - 1).tolist()))
+        return ids, ends
+
+    @staticmethod
+    def _enter(places: dict[int, list[np.ndarray]], at: np.ndarray, ranks: np.ndarray) -> None:
+        """Enter positions, which come sorted by rank, under their ranks."""
+        if not len(at):
+            return
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        begins = [0, *cuts.tolist(), len(at)]
+        for r, a, b in zip(ranks[begins[:-1]].tolist(), begins, begins[1:]):  # noqa: B905
+            held = places.get(r)
+            if held is None:
+                places[r] = [at[a:b]]
+            else:
+                held.append(at[a:b])
+
+    def _again(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray, odd: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with the odd words' ids taken merge by merge."""
+        parts = [ids[a:b] if i not in odd else np.array(self.merge(words[i]), np.int32) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def merge(self, word: bytes) -> list[int]:
+        """Ids of one word: the pair of the lowest rank, leftmost first, again and again."""
+        x = [int(self.single[b]) for b in word]
+        while len(x) > 1:
+            rank, i = min((self.pairs.get(a << 24 | b, NONE), i) for i, (a, b) in enumerate(zip(x, x[1:])))  # noqa: B905
+            if rank == NONE:
+                break
+            x[i : i + 2] = [rank]
+        return x
 
     def encode(self, texts: Iterable[str]) -> list[list[int]]:
-        """Ids of each text; the texts' new words are replayed together."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, split = self.known, [self.pattern.findall(t) for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for s in range(0, len(new), 50_000):
-            part = new[s : s + 50_000]
-            known.update(zip(part, self.replay([w.encode() for w in part]), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        """Ids of each text; the texts' different words are replayed together."""
+        lot = Lot(self)
+        for t in texts:
+            lot.add(t)
+        lot.close()
+        return [lot.ids(k).tolist() for k in range(len(lot.texts))]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class Lot:
+    """Texts as lists of units, each different unit once; close() replays the words of all units together."""
+
+    def __init__(self, coder: MergeReplay):
+        self.coder, self.texts, self.size = coder, [], 0
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+
+    def add(self, text: str) -> None:
+        split = (self.coder.units or self.coder.pattern).findall(text)
+        self.texts.append(np.fromiter(map(self.numbers.__getitem__, split), np.int32, len(split)))
+        self.size += len(text)
+
+    def full(self) -> bool:
+        return self.size >= LOT or len(self.numbers) >= UNITS
+
+    def close(self) -> None:
+        """Units are split by the pattern into words, words replayed; a unit's ids are its words' in order."""
+        coder = self.coder
+        split = coder.pattern.findall if coder.units else None
+        place: dict[str, int] = {}
+        parts: list[int] = []
+        lengths = []
+        for u in self.numbers:
+            if split is None or _PLAIN(u):
+                parts.append(place.setdefault(u, len(place)))
+                lengths.append(1)
+            else:
+                words = split(u)
+                parts += [place.setdefault(w, len(place)) for w in words]
+                lengths.append(len(words))
+        ids, ends = coder.replay([w.encode() for w in place])
+        order = np.array(parts, np.int64)
+        sizes = np.diff(ends)[order]
+        self._ids = ids[_ranges(ends[:-1][order], sizes)]
+        self._ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
+        self.numbers.clear()
+
+    def ids(self, k: int) -> np.ndarray:
+        codes = self.texts[k]
+        starts = self._ends[codes]
+        return self._ids[_ranges(starts, self._ends[codes + 1] - starts)]
+
+    def digests(self) -> Iterator[tuple[int, str, str]]:
+        """Of each text: the number of its ids, the digest of the ids, and that of the bytes that they decode to."""
+        tokens = self.coder.tokens
+        ids, ends = self._ids.tolist(), self._ends.tolist()
+        numerals = list(map(str, ids))
+        units = list(zip(ends, ends[1:]))  # noqa: B905
+        said = [" ".join(numerals[a:b]) for a, b in units]
+        decoded = [b"".join(map(tokens.__getitem__, ids[a:b])) for a, b in units]
+        sizes = np.diff(self._ends)
+        for codes in self.texts:
+            of = codes.tolist()
+            yield int(sizes[codes].sum()), hashlib.sha256(" ".join(map(said.__getitem__, of)).encode()).hexdigest(), hashlib.sha256(b"".join(map(decoded.__getitem__, of))).hexdigest()
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1 .. for sizes[0] values, and so on."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    ahead = np.cumsum(sizes) - sizes
+    return np.repeat(starts - ahead, sizes) + np.arange(int(sizes.sum()))
+
+
 def _coder(spark: SparkSession, ranks: dict[bytes, int] | None, pattern: str | None):
-    """The coder, broadcast: its size is the vocabulary's. A worker's tasks share it, and the words it remembers."""
+    """The coder, broadcast: its size is the vocabulary's."""
     shared = spark.sparkContext.broadcast(MergeReplay(ranks or load_ranks(), pattern or default_pattern()))
     return lambda: shared.value
 
 
-def _with(docs: DataFrame, column: str, added: str, names: list[str], f) -> DataFrame:
-    """docs with columns that f makes of a slice of `column`."""
+def _with(docs: DataFrame, column: str, added: str, names: list[str], start: Callable, lots: bool) -> DataFrame:
+    """docs with columns made of `column`, by batches, or by lots of texts that are coded together."""
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in names]
     source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{column}`").alias("__in"))
+    labels = [*[f"c{i}" for i in range(len(keep))], *names]
+
+    def out(rows: pa.RecordBatch, arrays: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *arrays], names=labels)
 
-    def run(batches):
-        work = f()
+    def by_batch(batches):
+        work = start()
         for batch in batches:
-            yield from (pa.RecordBatch.from_arrays([*batch.slice(start, n).columns[: len(keep)], *arrays], names=[*[f"c{i}" for i in range(len(keep))], *names]) for start, n, arrays in work(batch))
+            yield out(batch, work(batch))
+
+    def by_lot(batches):
+        coder, result = start()
+        lot, held = Lot(coder), []
+
+        def flush():
+            lot.close()
+            made, k = result(lot), 0
+            for rows in held:
+                yield out(rows, made(k, rows.num_rows))
+                k += rows.num_rows
+
+        for batch in batches:
+            for at, texts in text_slices(batch, "__in"):
+                held.append(batch.slice(at, len(texts)).select(labels[: len(keep)]))
+                for x in texts:
+                    lot.add(x.decode())
+                if lot.full():
+                    yield from flush()
+                    lot, held = Lot(coder), []
+        if held:
+            yield from flush()
 
     fields = "".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(keep)))
-    out = source.mapInArrow(run, fields + added)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *names)
+    made = source.mapInArrow(by_lot if lots else by_batch, fields + added)
+    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *names)
 
 
 def encode_texts(docs: DataFrame, text: str = "text", ranks: dict[bytes, int] | None = None, pattern: str | None = None) -> DataFrame:
     """All columns, and ids array<int>: the whole text's byte-level BPE ids, without special tokens.
 
-    Each match of `pattern` is encoded on its own. Null and empty texts have no ids. Tokens are at
-    most 2^24. A column ids of the input is replaced; rows keep their number, repeated rows too.
+    Each match of `pattern` is encoded on its own. The corpus whose different words an index covers
+    is a lot: LOT bytes of the texts of a task, or the first that have UNITS different units. Null and
+    empty texts have no ids. Tokens are at most 2^24. A column ids of the input is replaced; rows keep
+    their number, repeated rows too.
     """
     checked(docs, text)
     coder = _coder(docs.sparkSession, ranks, pattern)
 
     def start():
-        code = coder()
-
-        def work(batch):
-            for at, texts in text_slices(batch, "__in"):
-                ids = code.encode([x.decode() for x in texts])
+        def result(lot):
+            def made(k, n):
+                ids = [lot.ids(i) for i in range(k, k + n)]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield at, len(texts), [pa.ListArray.from_arrays(ends, pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))]
+                return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))]
 
-        return work
+            return made
 
-    return _with(docs, text, "ids array<int>", ["ids"], start)
+        return coder(), result
+
+    return _with(docs, text, "ids array<int>", ["ids"], start, True)
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", ranks: dict[bytes, int] | None = None) -> DataFrame:
@@ -183,36 +323,33 @@ def decode_ids(rows: DataFrame, ids: str = "ids", ranks: dict[bytes, int] | None
 
     def start():
         code = coder()
-        return lambda batch: iter([(0, len(batch), [pa.array([code.decode(x or ()) for x in batch.column("__in").to_pylist()], pa.binary())])])
+        return lambda batch: [pa.array([code.decode(x or ()) for x in batch.column("__in").to_pylist()], pa.binary())]
 
-    return _with(rows, ids, "decoded binary", ["decoded"], start)
+    return _with(rows, ids, "decoded binary", ["decoded"], start, False)
 
 
 def round_trip(docs: DataFrame, text: str = "text", ranks: dict[bytes, int] | None = None, pattern: str | None = None) -> DataFrame:
     """All columns, and n_tokens long, ids_sha256, decoded_sha256: digests of what encode_texts and decode_ids give.
 
-    The digests are made where the ids are, so ids need not leave the task. Null and empty texts
-    have 0 tokens and the digests of nothing.
+    The digests are made where the ids are, so ids need not leave the task; each different unit is
+    written out and decoded once a lot. Null and empty texts have 0 tokens and the digests of nothing.
     """
     checked(docs, text)
     coder = _coder(docs.sparkSession, ranks, pattern)
 
     def start():
-        code = coder()
-        numerals = {i: str(i) for i in code.tokens}
+        def result(lot):
+            digests = lot.digests()
 
-        def work(batch):
-            for at, texts in text_slices(batch, "__in"):
-                ids = code.encode([x.decode() for x in texts])
-                yield at, len(texts), [
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(" ".join(map(numerals.__getitem__, x)).encode()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(code.decode(x)).hexdigest() for x in ids]),
-                ]
+            def made(k, n):
+                rows = [next(digests) for _ in range(n)]
+                return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+
+            return made
 
-        return work
+        return coder(), result
 
-    return _with(docs, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], start)
+    return _with(docs, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], start, True)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

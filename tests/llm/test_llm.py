@@ -223,6 +223,35 @@ def test_bpe(docs):
     for _ in range(200):
         text = "".join(r.choice("aaab bcé  \n\t漢🙂12'sl") for _ in range(r.randrange(80)))
         assert coder.encode([text])[0] == enc.encode_ordinary(text)
+    texts = ["".join(r.choice("ab c.'d\n\t\r\x0b\u00a0\u3000\x1c\u2028\u0085é漢9 ") for _ in range(r.randrange(60))) for _ in range(800)]
+    texts += ["a" * 50_000, "xyz" * 9000, " " * 7000, "0" * 3001, ""]
+    assert coder.encode(texts) == [enc.encode_ordinary(x) for x in texts]
+    assert coder.units and bpe.MergeReplay(ranks, r"\S+|\s+").units is None
+
+
+def test_bpe_order(monkeypatch):
+    """A vocabulary whose merges make pairs of lower ranks: a word's lowest rank, leftmost, is always next."""
+    r = random.Random(14)
+    ranks = {bytes([b]): 400 + b for b in range(256)}
+    for i in range(300):
+        token = bytes(r.choice(b"abc") for _ in range(r.randrange(2, 6)))
+        ranks.setdefault(token, r.randrange(10**5) * 1000 + 700 + i)
+    ranks = {t: i for i, t in enumerate(sorted(ranks, key=ranks.get))}
+    coder = bpe.MergeReplay(ranks, r"\S+|\s+")
+    words = ["".join(r.choice("abc") for _ in range(r.randrange(1, 40))) for _ in range(400)]
+    assert coder.encode(words) == [coder.merge(w.encode()) for w in words]
+    enc = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    lone = [w for w in words if w.encode() not in ranks]
+    assert coder.encode(lone) == [enc.encode_ordinary(w) for w in lone]
+
+
+def test_bpe_lots(docs, monkeypatch):
+    """Lots of a few texts give what one lot gives; a long word, repeated rows, clashing names, no rows."""
+    long = docs.limit(5).withColumn("text", F.lit("ab" * 30_000)).union(docs).withColumn("ids_sha256", F.lit(1))
+    want = sorted(tuple(x) for x in bpe.round_trip(long).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").na.fill(-1).collect())
+    monkeypatch.setattr(bpe, "UNITS", 50)
+    assert sorted(tuple(x) for x in bpe.round_trip(long).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").na.fill(-1).collect()) == want
+    assert len(want) == docs.count() + 5 and bpe.round_trip(empty(docs)).count() == 0 and bpe.encode_texts(empty(docs)).count() == 0
 
 
 def test_chat(spark):
