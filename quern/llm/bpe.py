@@ -20,8 +20,6 @@ from .common import checked, small_batches, table, text_slices
 #: Bytes of text, and different units, whose words are replayed together by a task; what comes after is the next lot.
 LOT, UNITS = 32 << 20, 500_000
 NONE = 1 << 30
-#: A unit that is one word of letters, as any split pattern of the kind has it.
-_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -57,6 +55,7 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {i: b for b, i in ranks.items()}
+        self.numerals = {i: str(i) for i in self.tokens}
         # each pair that makes a token, whatever the split: at most one for each inner place of a token
         pairs = {}
         for token, rank in ranks.items():
@@ -70,7 +69,9 @@ class MergeReplay:
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         # a match of the usual pattern never goes on from a text's solid part into white space: units are split there first
         blank = "".join(c for c in map(chr, range(0x3001)) if regex.fullmatch(r"\s", c))
+        self.blank = frozenset(blank)
         self.units = re.compile(f"[{blank}]*[^{blank}]+|[{blank}]+") if pattern == default_pattern() else None
+        self.crowded = re.compile(f" [{blank}]|[{blank}] ").search
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the token that each pair makes; NONE where it makes none, or where one side is a gap."""
@@ -184,37 +185,59 @@ class Lot:
 
     def __init__(self, coder: MergeReplay):
         self.coder, self.texts, self.size = coder, [], 0
-        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        number = count().__next__
+        # units by what they are, and units that are a blank and what they are here
+        self.plain: defaultdict[str, int] = defaultdict(number)
+        self.spaced: defaultdict[str, int] = defaultdict(number)
 
     def add(self, text: str) -> None:
-        split = (self.coder.units or self.coder.pattern).findall(text)
-        self.texts.append(np.fromiter(map(self.numbers.__getitem__, split), np.int32, len(split)))
+        coder = self.coder
+        if coder.units and not coder.crowded(text):
+            # each blank stands alone between solid parts: a unit begins at each
+            first, *rest = text.split(" ")
+            codes = np.fromiter(map(self.spaced.__getitem__, rest), np.int32, len(rest))
+            if first:
+                codes = np.concatenate([np.array([self.plain[first]], np.int32), codes])
+        else:
+            split = (coder.units or coder.pattern).findall(text)
+            codes = np.fromiter(map(self.plain.__getitem__, split), np.int32, len(split))
+        self.texts.append(codes)
         self.size += len(text)
 
     def full(self) -> bool:
-        return self.size >= LOT or len(self.numbers) >= UNITS
+        return self.size >= LOT or len(self.plain) + len(self.spaced) >= UNITS
 
     def close(self) -> None:
         """Units are split by the pattern into words, words replayed; a unit's ids are its words' in order."""
-        coder = self.coder
-        split = coder.pattern.findall if coder.units else None
-        place: dict[str, int] = {}
-        parts: list[int] = []
-        lengths = []
-        for u in self.numbers:
-            if split is None or _PLAIN(u):
-                parts.append(place.setdefault(u, len(place)))
-                lengths.append(1)
-            else:
-                words = split(u)
-                parts += [place.setdefault(w, len(place)) for w in words]
-                lengths.append(len(words))
+        coder, split = self.coder, self.coder.pattern.findall
+        units = [""] * (len(self.plain) + len(self.spaced))
+        for u, i in self.plain.items():
+            units[i] = u
+        for u, i in self.spaced.items():
+            units[i] = f" {u}"
+        lengths, words = np.ones(len(units), np.int64), units
+        if coder.units:
+            # units from a blank to a solid end stay apart when they stand in a row, and are split as one text
+            row = [i for i, u in enumerate(units) if u[0] in coder.blank and u[-1] not in coder.blank]
+            rest = sorted(set(range(len(units))) - set(row))
+            joined = split("".join([units[i] for i in row]))
+            ends = np.searchsorted(np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))), np.cumsum([len(units[i]) for i in row])) + 1
+            apart = [split(units[i]) for i in rest]
+            lengths[row] = np.diff(np.concatenate([[0], ends]))
+            lengths[rest] = [len(x) for x in apart]
+            words = joined + list(chain.from_iterable(apart))
+            first = np.zeros(len(units), np.int64)
+            first[row + rest] = np.cumsum(lengths[row + rest]) - lengths[row + rest]
+        place: defaultdict[str, int] = defaultdict(count().__next__)
+        parts = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        if coder.units:
+            parts = parts[_ranges(first, lengths)]
         ids, ends = coder.replay([w.encode() for w in place])
-        order = np.array(parts, np.int64)
-        sizes = np.diff(ends)[order]
-        self._ids = ids[_ranges(ends[:-1][order], sizes)]
-        self._ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
-        self.numbers.clear()
+        sizes = np.diff(ends)[parts]
+        self._ids = ids[_ranges(ends[:-1][parts], sizes)]
+        self._ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)[np.concatenate([[0], np.cumsum(lengths)])]
+        self.plain.clear()
+        self.spaced.clear()
 
     def ids(self, k: int) -> np.ndarray:
         codes = self.texts[k]
@@ -223,17 +246,20 @@ class Lot:
 
     def digests(self) -> Iterator[tuple[int, str, str]]:
         """Of each text: the number of its ids, the digest of the ids, and that of the bytes that they decode to."""
-        tokens = self.coder.tokens
-        ids, ends = self._ids.tolist(), self._ends.tolist()
-        numerals = list(map(str, ids))
-        units = list(zip(ends, ends[1:]))  # noqa: B905
-        said = [" ".join(numerals[a:b]) for a, b in units]
-        decoded = [b"".join(map(tokens.__getitem__, ids[a:b])) for a, b in units]
+        numerals, tokens, ids = self.coder.numerals, self.coder.tokens, self._ids.tolist()
+        said, decoded = (self._pieces(f, ids, sep) for f, sep in ((numerals, " "), (tokens, b"")))
         sizes = np.diff(self._ends)
         for codes in self.texts:
             of = codes.tolist()
             yield int(sizes[codes].sum()), hashlib.sha256(" ".join(map(said.__getitem__, of)).encode()).hexdigest(), hashlib.sha256(b"".join(map(decoded.__getitem__, of))).hexdigest()
 
+    def _pieces(self, f: dict, ids: list[int], sep) -> list:
+        """Each unit's ids written by f, joined by sep: cut from the whole."""
+        parts = list(map(f.__getitem__, ids))
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + len(sep))])
+        whole, ends = sep.join(parts), at[self._ends].tolist()
+        return [whole[a : b - len(sep)] for a, b in zip(ends, ends[1:])]  # noqa: B905
+
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1 .. for sizes[0] values, and so on."""
