@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations, pairwise
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from .graph import components
 LISTED = 40
 #: A list of so many classes at most is paired in full; in longer ones each class meets its neighbours.
 SHORT = 8
-#: Long lists in which a class is looked up, and rows of a list that a task compares with as many others.
-LOOKED_UP, PART = 10, 1024
+#: Long lists in which a class is looked up, and rows, and values of their sets, of a list that a task compares with as many others.
+LOOKED_UP, PART, VALUES = 10, 1024, 1 << 20
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANK = np.zeros(256, bool)
@@ -86,24 +86,30 @@ def _signatures(words: int):
 
 
 def _pairs(batches):
-    """Candidate pairs of the lists, whose rows come sorted by (v, next values); a list may span batches."""
-    v_open, held, long = None, [], False
+    """All pairs of the lists, of SHORT rows at most, whose rows come sorted by v; a list may span batches."""
+    v_open, held = None, []
     for b in batches:
         out: list[tuple[int, int]] = []
         for v, c in zip(b.column("v").to_pylist(), b.column("cid").to_pylist(), strict=True):
             if v != v_open:
-                out += [] if long else combinations(held, 2)
-                v_open, held, long = v, [], False
+                out += combinations(held, 2)
+                v_open, held = v, []
             held.append(c)
-            if len(held) > SHORT and not long:
-                long = True
-                out += [*pairwise(held), *((held[0], x) for x in held[1:])]
-                held = [held[0], c]
-            elif long:
-                out += [(held[1], c), (held[0], c)]
-                held = [held[0], c]
         yield _pair_batch(out)
-    yield _pair_batch([] if long else list(combinations(held, 2)))
+    yield _pair_batch(list(combinations(held, 2)))
+
+
+def _neighbours(batches):
+    """Each row of a list with the one before it; rows come sorted."""
+    last_v = last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        v, c = b.column("v").to_numpy(), b.column("cid").to_numpy()
+        same = np.append(last_v == v[0] if last_v is not None else False, v[1:] == v[:-1])
+        before = np.append(c[0] if last is None else last, c[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(f(c, before)[same]) for f in (np.minimum, np.maximum)], names=["a", "b"])
+        last_v, last = v[-1], c[-1]
 
 
 def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -146,7 +152,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     Documents with equal sets are one class, so exact copies are never paired. Each class keeps the
     LISTED least values of its set under one hash function. Classes of a value's inverted list are
     candidates: in lists of up to SHORT classes each pair; in longer ones, sorted by the values that
-    follow, each class with its neighbour and with the list's first. Similarity is estimated on the
+    follow, each class with its neighbour, with the list's first and with its smallest set, which a
+    template has that others only add to. Similarity is estimated on the
     pair's union sketch; pairs five standard deviations below the threshold go. The rest is
     verified on whole sets. Components of these links follow.
 
@@ -154,9 +161,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     that shares long lists only must have as many of them in common as the estimate demands, so
     every class with so many values in long lists is looked up, whatever its other values are, and
     none that the estimate would let through is left out. Where such classes of a long list are in different components, those outside the
-    list's largest component are compared with all that are in others, in tiles: estimated, and
-    verified on whole sets in the same task, until one link to the other's component is found. No
-    pair but a link leaves a task, and no list is capped. A class is looked up in its LOOKED_UP
+    list's largest component are compared with all that are in others, in tiles: bounded by the
+    values that no other set of the tile has, estimated, and verified on whole sets in the same
+    task, until one link to the other's component is found. No pair but a link leaves a task, and no
+    list is capped. A class is looked up in its LOOKED_UP
     least long lists; two linked ones share none of them with a chance of 0.2 ^ LOOKED_UP at most.
 
     Null texts and texts without words have an empty set and link with nothing. Repeated rows link
@@ -193,14 +201,18 @@ def _grouped(docs: DataFrame, words: int, percent: int, id: str, text: str) -> D
     sets = scratch.save(slim.mapInArrow(_signatures(words), f"id {kind}, k1 long, k2 long, n long, s1 long, s2 long, low array<long>"), "sets")
     classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("at"), F.first("n").alias("n"), F.first("low").alias("low"))
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    entries = classes.select("cid", "low", F.posexplode("low").alias("place", "v"))
-    entries = entries.select("cid", "v", "place", F.try_element_at("low", F.col("place") + 2).alias("v2"), F.try_element_at("low", F.col("place") + 3).alias("v3"))
-    sizes = entries.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    entries = classes.select("cid", "n", "low", F.posexplode("low").alias("place", "v"))
+    entries = entries.select("cid", "n", "v", "place", F.try_element_at("low", F.col("place") + 2).alias("v2"), F.try_element_at("low", F.col("place") + 3).alias("v3"))
+    sizes = entries.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "cid"))["cid"].alias("least"), F.min(F.struct("v2", "v3", "cid"))["cid"].alias("first")).where("size > 1")
     listed = scratch.save(entries.join(sizes, "v"), "lists")
-    # long lists of low places are enough for neighbours: a group of copies has the same values in them
-    use = listed.where((F.col("size") <= SHORT) | (F.col("place") < 8))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = use.select("v", "v2", "v3", "cid", "place").repartition(n, "v").sortWithinPartitions("v", "v2", "v3", "cid").mapInArrow(_pairs, "a long, b long").distinct()
+    pairs = listed.where(F.col("size") <= SHORT).select("v", "cid").repartition(n, "v").sortWithinPartitions("v").mapInArrow(_pairs, "a long, b long")
+    # long lists of low places are enough here: a group of copies has the same values in them; no list is one task
+    long, order = listed.where((F.col("size") > SHORT) & (F.col("place") < 8)), ("v", "v2", "v3", "cid")
+    pairs = pairs.union(long.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "a long, b long"))
+    for hub in ("least", "first"):
+        pairs = pairs.union(long.select(F.least("cid", hub), F.greatest("cid", hub)))
+    pairs = pairs.where("a < b").distinct()
     pairs = scratch.save(pairs, "pairs")
     inner = _link(spark, scratch, slim, classes, pairs, words, percent, "first")
     roots = components(inner, scratch, "roots-first")
@@ -229,10 +241,11 @@ def _rest(listed: DataFrame, state: DataFrame, percent: int) -> DataFrame:
     frequent = long.groupBy("cid").agg(F.count(F.lit(1)).alias("long"), F.sort_array(F.collect_list("v")).alias("all"))
     # a partner lists min(have, percent * n) values at least, of which a tile demands this share in common
     enough = F.col("long") >= F.lit(_least(percent)) * F.least(F.col("have"), F.ceil(F.col("n") * percent / 100))
-    inside = state.join(frequent, "cid").where(enough).select("cid", "root", F.slice("all", 1, LOOKED_UP).alias("looked")).withColumn("v", F.explode("looked"))
-    each = inside.groupBy("v", "root").agg(F.count(F.lit(1)).alias("n"))
-    split = each.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("big")).where("roots > 1")
-    split = split.select("v", F.col("big.root").alias("big"), F.ceil(F.col("m") / PART).alias("parts"), F.ceil((F.col("m") - F.col("big.n")) / PART).alias("blocks"))
+    inside = state.join(frequent, "cid").where(enough).select("cid", "n", "root", F.slice("all", 1, LOOKED_UP).alias("looked")).withColumn("v", F.explode("looked"))
+    each = inside.groupBy("v", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    split = each.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.max(F.struct("m", "root", "w")).alias("big")).where("roots > 1")
+    tasks = lambda m, w: F.greatest(F.ceil(m / PART), F.ceil(w / VALUES))
+    split = split.select("v", F.col("big.root").alias("big"), tasks(F.col("m"), F.col("w")).alias("parts"), tasks(F.col("m") - F.col("big.m"), F.col("w") - F.col("big.w")).alias("blocks"))
     inside = inside.join(split, "v")
     part, block = F.pmod(F.xxhash64("cid"), F.col("parts")), F.pmod(F.xxhash64("cid"), F.col("blocks"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -252,16 +265,24 @@ def _compare(percent: int):
         # a pair belongs to the first list that both are looked up in
         before = [{x for x in l if x < v} for l in looked]
         inner, links = np.flatnonzero(~side), []
-        sizes = np.array([len(sets[i]) for i in inner], np.int64)
+        size = np.array([len(x) for x in sets], np.int64)
+        met = _met(sets, cid)
+        alone = size - met
+        inner = inner[np.argsort(alone[inner], kind="stable")]
+        sizes, alone_in, met_in = size[inner], alone[inner], met[inner]
         lows = np.concatenate([sets[i][:LISTED] for i in inner] or [np.zeros(0, np.uint64)])
         low_sizes = np.minimum(sizes, LISTED)
         order = np.argsort(lows, kind="stable")
         lows, owner = lows[order], np.repeat(np.arange(len(inner)), low_sizes)[order]
         for o in np.flatnonzero(side):
             x = sets[o]
-            may = (root[inner] != root[o]) & (100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x)))
-            shared = _shared(lows, owner, len(inner), x[:LISTED])
-            may &= shared >= least * np.minimum(low_sizes, min(LISTED, len(x)))
+            # a union has what is alone on either side: rows with more of that than x leaves room for are not looked at
+            k = int(np.searchsorted(alone_in, 100 * met[o] // percent - len(x), "right"))
+            may = (root[inner[:k]] != root[o]) & (100 * met_in[:k] >= percent * (sizes[:k] + alone[o]))
+            if not may.any():
+                continue
+            shared = _shared(lows, owner, len(inner), x[:LISTED])[:k]
+            may &= shared >= least * np.minimum(low_sizes[:k], min(LISTED, len(x)))
             at = np.flatnonzero(may)
             for j in at[np.argsort(-shared[at], kind="stable")]:
                 i = inner[j]
@@ -276,6 +297,18 @@ def _compare(percent: int):
     return tile
 
 
+def _met(sets: list[np.ndarray], cid: np.ndarray) -> np.ndarray:
+    """How many values of each set another class's set has; a class may have two rows."""
+    _, one, row = np.unique(cid, return_index=True, return_inverse=True)
+    sizes = np.array([len(sets[i]) for i in one], np.int64)
+    values, owner = np.concatenate([sets[i] for i in one]), np.repeat(np.arange(len(one)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, same = values[order], np.zeros(len(values), bool)
+    same[1:] = values[1:] == values[:-1]
+    same[:-1] |= same[1:]
+    return np.bincount(owner[order[same]], minlength=len(one))[row]
+
+
 def _shared(values: np.ndarray, owner: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
     """How many values each of n arrays has in common with x; values of all, ascending, and whose each is."""
     first, last = np.searchsorted(values, x), np.searchsorted(values, x, "right")
