@@ -50,7 +50,8 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     paragraphs whose blank line went, is found too, and of an altered one the lines or sentences that
     are whole; words within a sentence and line alone are not. A passage or piece belongs to the latest
     message of the same conversation with a lower turn that has one of its hashes; reply_to is the
-    turn that the longest linked one of level 1 belongs to (ties: the later turn). root_turn is where the
+    turn that the longest linked one of the least level belongs to (ties: the later turn): a message
+    that only quotes at second hand answers what it quotes. root_turn is where the
     chain of replies starts. position counts a conversation's messages from 0 by (root_turn, turn):
     replies stand after what they answer, threads by their first message; without links this is
     the order of turns. content is the text without quoted lines and the lines that announce them;
@@ -60,7 +61,7 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     chains are shortened by pointer jumping, and positions are counted in blocks of BLOCK turns of one
     thread, whose counts are added up by blocks of BLOCK threads. Null texts have null content and are formatted as empty. A null turn
     stands last and answers nothing; null conversations are one conversation; a null role is
-    written as unknown. Rows repeated within a turn are numbered one after another. An empty table
+    written as unknown. Rows repeated within a turn link alike and are numbered one after another. An empty table
     gives an empty result. Columns of the result's own names are replaced.
     """
     checked(messages, conv, turn, role, text)
@@ -77,7 +78,9 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     rows = rows.withColumn("quote_depth", F.when(F.col("__q"), F.array_max(F.transform(lines, level))).otherwise(0).cast("int"))
 
     # passages that are quoted: (conversation, turn, level, number of the passage, its text)
-    marked = rows.where("__q AND __t IS NOT NULL").select("__c", "__t", F.xxhash64("content", body).alias("m"), F.posexplode(lines).alias("i", "line"))
+    # rows that repeat a turn and text have one key, and their lines count once
+    marked = rows.where("__q AND __t IS NOT NULL").select("__c", "__t", F.xxhash64("content", body).alias("m"), lines.alias("lines"))
+    marked = marked.dropDuplicates(["__c", "__t", "m"]).select("__c", "__t", "m", F.posexplode("lines").alias("i", "line"))
     marked = marked.withColumns({"level": level(F.col("line")), "rest": F.regexp_replace("line", QUOTE, "")})
     by = W.partitionBy("__c", "__t", "m").orderBy("i")
     marked = marked.withColumn("new", (F.coalesce(F.lag("level").over(by), F.lit(-1)) != F.col("level")) | (F.trim("rest") == ""))
@@ -91,7 +94,7 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     runs = F.transform(F.array("by_line", "by_sentence"), lambda x: sized(_run(x), F.length("said")))
     alone = F.transform(F.filter(F.transform(F.concat("parts", "sentences"), normalised), lambda x: x != ""), lambda x: sized(_run(F.array(F.xxhash64(x))), F.length(x)))
     passages = passages.select("__c", "__t", "level", F.size("by_line").alias("lines"), F.size("by_sentence").alias("sentences"), F.explode(F.concat(whole, runs, alone)).alias("u"))
-    passages = passages.select("__c", "__t", "lines", "sentences", "u.h1", "u.h2", F.when(F.col("level") == 1, F.col("u.size")).alias("size")).distinct()
+    passages = passages.select("__c", "__t", "lines", "sentences", "level", "u.h1", "u.h2", "u.size").distinct()
     passages = scratch.save(passages, "passages")
     if passages.isEmpty():
         linked = rows.withColumns({"reply_to": F.lit(None).cast("long"), "root_turn": F.col("__t")})
@@ -103,10 +106,10 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
         texts = F.transform(F.filter(F.transform(units, normalised), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")))
         said = said.withColumns({"by_line": _pieces(F.split("content", "\n")), "by_sentence": _pieces(F.split("content", SENTENCE)), "texts": texts})
         said = said.select("__c", "__t", F.explode(F.concat("texts", _runs(F.col("by_line"), F.col("lines")), _runs(F.col("by_sentence"), F.col("sentences")))).alias("u")).select("__c", "__t", "u.h1", "u.h2").distinct()
-        both = said.withColumn("size", F.lit(None).cast("int")).withColumn("own", F.lit(True)).unionByName(passages.drop("lines", "sentences").withColumn("own", F.lit(False)))
+        both = said.withColumns({"size": F.lit(None).cast("int"), "level": F.lit(None).cast("int"), "own": F.lit(True)}).unionByName(passages.drop("lines", "sentences").withColumn("own", F.lit(False)))
         earlier = F.last(F.when(F.col("own"), F.col("__t")), ignorenulls=True).over(W.partitionBy("__c", "h1", "h2").orderBy("__t").rangeBetween(W.unboundedPreceding, -1))
-        found = both.withColumn("to", earlier).where("NOT own AND to IS NOT NULL AND size IS NOT NULL")
-        replies = found.groupBy("__c", "__t").agg(F.max(F.struct("size", "to"))["to"].alias("to")).select(F.col("__c").alias("rc"), F.col("__t").alias("rt"), "to")
+        found = both.withColumn("to", earlier).where("NOT own AND to IS NOT NULL")
+        replies = found.groupBy("__c", "__t").agg(F.max(F.struct(-F.col("level"), "size", "to"))["to"].alias("to")).select(F.col("__c").alias("rc"), F.col("__t").alias("rt"), "to")
         replies = scratch.save(replies.withColumn("root", F.col("to")), "replies-0")
         for k in range(1, rounds + 1):
             up = replies.select(F.col("rc").alias("uc"), F.col("rt").alias("ut"), F.col("root").alias("up"))
