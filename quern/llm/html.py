@@ -108,7 +108,7 @@ def parse(html: str) -> Node:
         if dropped is None and s:
             at.children.append(unescape(s) if "&" in s else s)
 
-    depth = 0
+    counts: dict[str, int] = {}  # open elements by tag: no walk up for one that is not open
     while m := _TAG.search(html, pos):
         text(html[pos : m.start()])
         pos = m.end()
@@ -116,7 +116,7 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node, wall = at, _WALLS.get(tag, ())
+            node, wall = at if counts.get(tag) else root, _WALLS.get(tag, ())
             while node is not root and node.tag != tag:
                 if node.tag in wall or (tag not in _BLOCK and node.tag in _BLOCK and node.tag != "p"):
                     node = root
@@ -126,15 +126,15 @@ def parse(html: str) -> Node:
                 while at is not node.parent:
                     inside -= at.tag in ("article", "main")
                     dropped = None if at is dropped else dropped
+                    counts[at.tag] -= 1
                     at = at.parent
-                    depth -= 1
             elif tag == "p":
                 at.children.append(Node("p", at))
             continue
         ends = _ENDS.get(tag, ())
         if tag in _BLOCK:
             ends = {*ends, "p"}
-        if ends:
+        if any(map(counts.get, ends)):
             node, stop = at, None
             while node is not root:
                 if node.tag in ends:
@@ -148,8 +148,8 @@ def parse(html: str) -> Node:
                 while at is not stop.parent:
                     inside -= at.tag in ("article", "main")
                     dropped = None if at is dropped else dropped
+                    counts[at.tag] -= 1
                     at = at.parent
-                    depth -= 1
         node = Node(tag, at)
         values = _attributes(m[3]) if dropped is None else {}
         hide = dropped is None and _hidden(tag, values, inside > 0)
@@ -162,9 +162,8 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
             pos = end.end() if end else len(html)
             continue
-        if depth > 2000:
-            continue
-        at, depth = node, depth + 1
+        at = node
+        counts[tag] = counts.get(tag, 0) + 1
         inside += tag in ("article", "main")
         dropped = node if hide else dropped
     text(html[pos:])
@@ -173,7 +172,10 @@ def parse(html: str) -> Node:
 
 
 def measure(root: Node) -> list[Node]:
-    """Densities of each node, parents first: link-adjusted characters a tag, and the children's sum."""
+    """Densities of each node, parents first: link-adjusted characters a tag, and the children's sum.
+
+    The parts of an article or main element belong together: its sum also counts the best one within.
+    """
     nodes, todo = [], [root]
     while todo:
         n = todo.pop()
@@ -204,27 +206,24 @@ def measure(root: Node) -> list[Node]:
         for c in n.children:
             if isinstance(c, Node) and c.best.total > n.best.total:
                 n.best = c.best
+        if n.tag in ("article", "main") and n.best is not n:
+            n.total, n.best = n.total + n.best.total, n
     return nodes
 
 
 def article(root: Node) -> set[int]:
     """Identities of the subtrees that make up the article.
 
-    The node of the largest sum of child densities is taken; an article or main element around it
-    tells the article's extent. Without one, the least density on the path from it up to the body
-    is the threshold: below the body, each node that reaches it gives its own best subtree.
+    The node of the largest sum of child densities is taken. If that is an article or main element,
+    it is the whole extent. If not, the least density on the path from it up to the body is the
+    threshold: below the body, each node that reaches it gives its own best subtree.
     """
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    top = body.best if body.chars else root.best
-    up = top
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return {id(up)}
-        up = up.parent
-    semantic = [n for n in nodes if n.tag in ("article", "main") and n.chars > 0.5 * root.chars]
-    if semantic:
-        return {id(max(semantic, key=lambda n: n.chars))}
+    within = [n for n in nodes if n.tag in ("article", "main") and n.chars > 0.5 * root.chars]
+    top = max(within, key=lambda n: n.total).best if within else body.best if body.chars else root.best
+    if top.tag in ("article", "main"):
+        return {id(top)}
     threshold, up = top.density, top
     while up is not None and up is not body:
         threshold = min(threshold, up.density)
@@ -281,7 +280,7 @@ def extract_pages(pages: DataFrame, html: str = "html", text: str = "text") -> D
     """All columns but `html`, and text string, n_chars long: each page's main text.
 
     Null, empty and blank pages, and pages without text, have the empty text. Pages of any length
-    are read whole; nesting beyond 2000 levels is read as if flat. Repeated rows each have a row.
+    are read whole, nested however deep. Repeated rows each have a row.
     Elements of a page's frame are left out by tag and role, and outside article and main by whole
     class names and ids, unless most of the page's text is in them.
     Columns of the result's own names are replaced.
