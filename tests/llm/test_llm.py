@@ -145,6 +145,29 @@ def test_minhash_own_values(spark):
     assert {x["component_id"] for x in found} == {0}
 
 
+def test_minhash_template(spark, monkeypatch):
+    """A template, many texts that add a fifth of their own to it (linked to it alone), some that add more, and other ones; small tiles."""
+    for name, value in (("PART", 16), ("VALUES", 9000)):
+        monkeypatch.setattr(minhash, name, value)
+    r = random.Random(16)
+    say = lambda k: " ".join(f"v{r.randrange(10**9)}" for _ in range(k))
+    base, other = say(200), say(30)
+    texts = [f"{base} {say(50)}" for _ in range(70)] + [base] + [f"{base} {say(60)}" for _ in range(20)] + [f"{other} {' '.join(base.split()[:190])}" for _ in range(3)] + [f"{other} {say(200)}", base[:20], ""]
+    rows = [(i, x) for i, x in enumerate(texts, 5)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), words=1).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in found) == brute_components(rows, 1, 80)
+    assert sum(x["component_id"] == 5 for x in found) >= 71
+
+
+def test_minhash_long_texts(spark):
+    """Whole sets of tens of thousands of words, one word, one word of great length."""
+    r = random.Random(17)
+    long = [str(r.randrange(10**7)) for _ in range(30_000)]
+    rows = [(0, " ".join(long)), (1, " ".join(long[2000:])), (2, " ".join(long[8000:])), (3, "x" * 500_000), (4, "x" * 500_000 + "y"), (5, "one"), (6, " ONE ")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in found) == [(i, c) for i, _, c in brute_components(rows, 4, 80)]
+
+
 @pytest.mark.parametrize("at_once", [graph.TASK_LINKS, 7])
 def test_components(spark, monkeypatch, at_once):
     monkeypatch.setattr(graph, "TASK_LINKS", at_once)
@@ -279,7 +302,7 @@ def test_chat_parts(spark):
     ]
     df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(3)
     got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.link_quotations(df).collect()}
-    want = {(1, 2): 0, (1, 4): 0, (1, 5): 3, (2, 2): 0, (2, 3): 0, (2, 4): 0, (2, 5): 0, (None, 1): 0}
+    want = {(1, 2): 0, (1, 4): 0, (1, 5): 3, (2, 2): 0, (2, 3): 0, (2, 4): 0, (2, 5): 0, (3, 1): 0, (None, 1): 0}
     assert got == {(c, t): want.get((c, t)) for c, t, _ in rows}
 
 
@@ -315,10 +338,19 @@ def test_mixing(docs):
         own = [r for r in rows if r["source"] == s]
         assert all(abs(r["target"] - target[s]) < 1e-6 and r["source_size"] == size[s] for r in own)
         assert abs(sum(r["taken"] for r in own) - target[s]) <= max(r["size"] for r in own)
-    assert all(r["taken"] == r["size"] * r["passes"] <= 3 * r["size"] and len(r["times"]) == r["passes"] for r in rows)
+    assert all(r["taken"] == r["size"] * r["passes"] <= 3 * r["size"] and len(r["positions"]) == r["passes"] for r in rows)
     again = {(r["doc_id"], r["text"]): r["taken"] for r in mixing.mix_sources(docs.repartition(3), F.regexp_count("text", F.lit(mixing.WORD))).collect()}
     assert again == {(r["doc_id"], r["text"]): r["taken"] for r in rows} and mixing.mix_sources(empty(docs), F.length("text")).count() == 0
-    assert mixing.training_order(mixed).count() == sum(r["passes"] for r in rows)
+    order = [x["position"] for x in mixing.training_order(mixed).collect()]
+    assert order == sorted(order) and len(order) == sum(r["passes"] for r in rows)
+    by_first = mixing.training_order(mixed, each_pass=False).collect()
+    assert [x["position"] for x in by_first if x["passes"]] == sorted(x["positions"][0] for x in rows if x["passes"]) and len(by_first) == len(rows) and not any(x["passes"] for x in by_first[sum(x["passes"] > 0 for x in rows) :])
+    # the schedules add up: what stands before a position is about as much as the position says
+    total, before = sum(size.values()), 0
+    for x in mixing.training_order(mixed).collect():
+        assert abs(x["position"] - before) < 0.1 * total
+        before += x["size"]
+    assert mixing.mix_sources(docs.withColumn("positions", F.lit("clash")).withColumn("size", F.lit(1)), F.length("text")).count() == len(rows)
 
 
 def test_vectors(spark):
