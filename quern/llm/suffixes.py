@@ -13,7 +13,7 @@ from .common import Scratch, checked, row_keys, table, text_slices
 #: Bytes that a repeated string has at least, and the bytes whose hash orders positions (a gram).
 LENGTH, GRAM = 400, 16
 #: Suffixes of a bucket: one ends at the next boundary after BUCKET; HOT bounds those that share a key.
-BUCKET, HOT = 6_000, 2_000
+BUCKET, HOT = 6_000, 20_000
 #: Suffixes of a range partition, which holds many buckets, and bytes of a text whose grams are hashed at once.
 RANGE, CHUNK = 100_000, 1 << 18
 #: Parts that the rows of one key are dealt to; at most 64, the bits of a mask.
@@ -199,7 +199,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
        that any match shares, so no match lies across a boundary. More than HOT classes of one key
        are split by deeper bytes: strings that start lo..hi bytes before the anchor share lo bytes
        before it and length - hi after it, so each half of the offsets has a longer key of its own,
-       and so on; at a single offset the key is the whole string, and equal keys are its repeats.
+       and so on; classes with the same bytes wherever a half's strings lie go on as one.
     4. The classes' reach goes back to all their anchors, and a document's spans are joined to it.
 
     Surroundings are compared by 64-bit (step 1, which may only keep too many) and 128-bit hashes.
@@ -259,7 +259,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     # repeated rows have one key, and one of them is enough
     around = slim.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "of").mapInArrow(surroundings, "g long, c1 long, c2 long, slot int, n long, m long, before binary, after binary")
     around = scratch.save(around.withColumns({"lo": F.lit(shape.near), "hi": F.lit(shape.far), "key": F.col("g")}), "around")
-    sortable, equal = _split(around, scratch, shape)
+    sortable, hits = _split(around, scratch, shape)
 
     def bucket(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows)
@@ -293,8 +293,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     order = (F.substring("after", 1, GRAM), F.col("lo"), F.col("key"))
     ranged = sortable.repartitionByRange(max(1, -(-sortable.count() // RANGE)), *order).sortWithinPartitions(*order)
     reach = ranged.select("g", "c1", "c2", "slot", "n", "before", "after", "lo", "hi", "key").mapInArrow(buckets, "g long, c1 long, c2 long, slot int, back int, on int")
-    if equal is not None:
-        reach = reach.unionByName(equal.where("n = 1").select("g", "c1", "c2", "slot", F.col("lo").alias("back"), (F.lit(length) - F.col("lo")).alias("on")))
+    if hits is not None:
+        reach = reach.unionByName(hits)
         reach = reach.groupBy("g", "c1", "c2", "slot").agg(F.max("back").alias("back"), F.max("on").alias("on"))
     whole = classes.where("n > 1").select("g", "c1", "c2", _slots(), F.lit(shape.far).alias("back"), F.lit(shape.right).alias("on"))
     reach = whole.unionByName(reach)
@@ -306,29 +306,40 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
 
 
 def _split(around: DataFrame, scratch: Scratch, shape: Shape) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (lo, hi, key) of at most HOT a key, to be sorted; and rows of one offset whose keys are equal strings.
-
-    Each round halves the offsets of the keys that are still hot, so there are as many rounds as
-    the range of offsets has bits.
+    """Rows (lo, hi, key) of at most HOT a key, to be sorted; and the classes (.., back, on) that were found while hot keys were split.
+
+    Each round halves the offsets of the keys that are still hot. Strings of a half share lo bytes
+    before the anchor and length - hi after it, the half's key; all of them lie within hi bytes
+    before it and length - lo after it. Classes that agree on the latter have the same strings at
+    all offsets of the half: they are found, and one of them goes on for all. At one offset both are
+    the same bytes, so the rounds end there. A class whose bytes differ from others' in one place
+    goes on where that place is between the two, which on average is less than one half a round.
     """
-    sortable, equal = around.where(F.col("m") <= HOT), None
+    sortable, found = around.where(F.col("m") <= HOT), None
     hot, k = around.where(F.col("m") > HOT), 0
     while not hot.isEmpty():
         k += 1
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.explode(F.array(F.struct("lo", middle.alias("hi")), F.struct((middle + 1).alias("lo"), "hi"))).alias("part")
         parts = hot.drop("m", "key").withColumn("part", halves).withColumns({"lo": F.col("part.lo"), "hi": F.col("part.hi")}).drop("part")
-        parts = parts.where((F.octet_length("before") >= F.col("lo")) & (F.octet_length("after") >= F.lit(shape.length) - F.col("hi")))
-        # lo bytes before the anchor and length - hi after it: what all strings of these offsets share
-        bytes_ = (F.col("lo"), F.substring("before", F.lit(1), F.col("lo")), F.substring("after", F.lit(1), F.lit(shape.length) - F.col("hi")))
-        parts = scratch.save(parts.withColumns({"key": F.xxhash64(*bytes_), "key2": F.xxhash64(F.lit(2), *bytes_)}), f"parts-{k}")
-        sizes = parts.groupBy("lo", "key", "key2").agg(F.count(F.lit(1)).alias("m"), _mask(F.col("slot"))).where("m > 1").select("lo", "key", "key2", "m", _slots())
-        parts = scratch.save(parts.join(sizes, ["lo", "key", "key2", "slot"]).drop("key2"), f"around-{k}")
-        scratch.drop(f"parts-{k}")
-        sortable = sortable.unionByName(parts.where((F.col("m") <= HOT) & (F.col("lo") < F.col("hi"))))
-        equal = parts.where("lo = hi") if equal is None else equal.unionByName(parts.where("lo = hi"))
-        hot = parts.where((F.col("m") > HOT) & (F.col("lo") < F.col("hi")))
-    return sortable, equal
+        rest = lambda o: F.lit(shape.length) - F.col(o)
+        parts = parts.where((F.col("lo") <= F.col("hi")) & (F.octet_length("before") >= F.col("lo")) & (F.octet_length("after") >= rest("hi")))
+        inner = (F.col("lo"), F.substring("before", F.lit(1), F.col("lo")), F.substring("after", F.lit(1), rest("hi")))
+        outer = (F.col("lo"), F.substring("before", F.lit(1), F.col("hi")), F.substring("after", F.lit(1), rest("lo")))
+        parts = scratch.save(parts.withColumns({"key": F.xxhash64(*inner), "o1": F.xxhash64(*outer), "o2": F.xxhash64(F.lit(2), *outer)}), f"parts-{k}")
+        same = ["lo", "hi", "key", "o1", "o2"]
+        one = F.min(F.struct("g", "c1", "c2", "slot", "n", "before", "after")).alias("one")
+        alike = scratch.save(parts.groupBy(*same).agg(F.count(F.lit(1)).alias("alike"), _mask(F.col("slot")), one), f"alike-{k}")
+        several = alike.where("alike > 1").select(*same, _slots())
+        reach = (F.least("hi", F.octet_length("before")).alias("back"), F.least(rest("lo"), F.octet_length("after")).alias("on"))
+        hits = parts.where("n = 1").join(several, [*same, "slot"]).select("g", "c1", "c2", "slot", *reach)
+        found = hits if found is None else found.unionByName(hits)
+        left = alike.select("lo", "hi", "key", "one.*", "alike").withColumn("n", F.when(F.col("alike") > 1, F.lit(2).cast("long")).otherwise(F.col("n"))).drop("alike")
+        sizes = left.groupBy("lo", "key").agg(F.count(F.lit(1)).alias("m"), _mask(F.col("slot"))).where("m > 1").select("lo", "key", "m", _slots())
+        left = scratch.save(left.join(sizes, ["lo", "key", "slot"]), f"around-{k}")
+        sortable = sortable.unionByName(left.where(F.col("m") <= HOT))
+        hot = left.where(F.col("m") > HOT)
+    return sortable, found
 
 
 def _whole_words(x: bytes, start: int, stop: int) -> int:
