@@ -33,6 +33,8 @@ class Images:
         self._read = read
         self.added: dict[str, list[DataFrame]] = {}
         self.whole: dict[str, DataFrame] = {}
+        #: Committed parts of a replaced table in which nothing changed, which stay as they are.
+        self.untouched: dict[str, list[str]] = {}
 
     def read(self, name: str) -> DataFrame:
         return reduce(DataFrame.unionByName, self.added.get(name, []), self.whole.get(name) if name in self.whole else self._read(name))
@@ -92,9 +94,10 @@ class Database:
             op(images, False)
         return images.read
 
-    def select(self, table: str, query: Query | None = None) -> DataFrame:
+    def select(self, table: str, query: Query | None = None, early: bool = False) -> DataFrame:
+        """early: a page without an order may be any page, and the scan stops when it is full."""
         self._gate(table, A.READ)
-        return relational.select(self.catalog, self._reader(), table, query or Query(), self.ansi)
+        return relational.select(self.catalog, self._reader(), table, query or Query(), self.ansi, early)
 
     def select_raw(self, table: str, query: Query | None = None) -> DataFrame:
         """The table's own columns only."""
@@ -113,6 +116,27 @@ class Database:
         self._gate(table, A.READ)
         return relational.aggregate(self.catalog, self._reader(), table, query, list(functions), self.ansi)
 
+    # foreign keys
+
+    def orphans(self, table: str, column: str) -> DataFrame:
+        """The table's rows whose foreign key leads to no row."""
+        self._gate(table, A.READ)
+        return self._orphans(Images(self._reader()), self.catalog[table], self.catalog[table][column], self._reader()(table))
+
+    def referenced(self, table: str, child: str, column: str) -> DataFrame:
+        """The table's rows that a row of the child leads to by its foreign key."""
+        self._gate(table, A.READ)
+        self._gate(child, A.READ)
+        read, c = self._reader(), self.catalog[child][column]
+        return read(table).join(read(child).select(F.col(f"`{column}`").alias("__k")), F.col(f"`{c.foreign_key.column}`") == F.col("__k"), "left_semi")
+
+    def _orphans(self, images: Images, t: TableDef, c: ColumnDef, rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        """Of the rows, those whose key is in neither the parent table's image nor `more` rows of it. NULL leads nowhere and is allowed."""
+        there = images.read(c.foreign_key.table).select(F.col(f"`{c.foreign_key.column}`").alias("__k"))
+        if more is not None:
+            there = there.union(more.select(F.col(f"`{c.foreign_key.column}`")))
+        return rows.where(F.col(f"`{c.name}`").isNotNull()).join(there, F.col(f"`{c.name}`") == F.col("__k"), "left_anti")
+
     # writes
 
     def insert(self, table: str, rows: Rows) -> int:
@@ -158,16 +182,21 @@ class Database:
                 counts.append(op(images, True))
                 for name, image in list(images.whole.items()):
                     if f"{name}/" not in image.__dict__.get("_part", ""):
-                        part = self.warehouse.write(name, images.read(name))
+                        part = self._write_image(images, name, manifest)
                         written.append(part)
-                        kept = self.spark.read.schema(self.catalog[name].struct(rid=True)).parquet(f"{self.warehouse.root}/{part}")
+                        kept = self.spark.read.schema(self.catalog[name].struct(rid=True)).parquet(*[f"{self.warehouse.root}/{p}" for p in (*images.untouched.get(name, ()), part)])
                         kept._part = part
                         images.replace(name, kept)
             latest = self.warehouse.manifest()
+            replaced = {name: manifest["tables"].get(name, {}).get("parts", []) for name in images.whole}
             for name in {*images.whole, *images.added}:
                 entry = latest["tables"].setdefault(name, {"parts": [], "autoincrement": {}})
                 if name in images.whole:
-                    entry["parts"] = [images.whole[name]._part]
+                    # parts that others have added since stay; those that were read must all be there still
+                    if missing := set(replaced[name]) - set(entry["parts"]):
+                        raise TransactionError(f"another session has changed {name}: {len(missing)} of the parts read are gone")
+                    kept = [p for p in entry["parts"] if p not in replaced[name] or p in images.untouched.get(name, ())]
+                    entry["parts"] = [*kept, images.whole[name]._part]
                 for rows in images.added.get(name, []):
                     entry["parts"] = [*entry["parts"], rows._part]
             self.warehouse.commit(latest)
@@ -177,6 +206,30 @@ class Database:
                 self.warehouse.drop_part(part)
             raise
 
+    def _write_image(self, images: Images, name: str, manifest: dict) -> str:
+        """Write a table's new image, but not the rows of committed parts that the statements leave as they are.
+
+        A first statement's image is compared with the committed parts by row number: a part stays
+        where every row is still there and the same. Later statements of a transaction write what is left.
+        """
+        t, parts = self.catalog[name], manifest["tables"].get(name, {}).get("parts", [])
+        new = images.read(name)
+        if name in images.untouched or len(parts) < 2:
+            images.untouched[name] = []
+            return self.warehouse.write(name, new)
+        # the folder of a row's file is its part
+        at = F.element_at(F.split(F.input_file_name(), "/"), -2)
+        sign = F.xxhash64(*[F.col(f"`{c.name}`") for c in t.columns])
+        old = self.warehouse.read(manifest, t).select(F.col(RID).alias("__r"), at.alias("__part"), sign.alias("__sign"))
+        now = new.select(F.col(RID).alias("__n"), sign.alias("__now"))
+        changed = old.join(now, F.col("__r") == F.col("__n"), "left").where(F.col("__now").isNull() | (F.col("__now") != F.col("__sign")))
+        touched = {r[0] for r in changed.select("__part").distinct().collect()}  # names of parts, which the manifest holds as well
+        images.untouched[name] = kept = [p for p in parts if p.rpartition("/")[2] not in touched]
+        if kept:
+            still = self.spark.read.schema(t.struct(rid=True)).parquet(*[f"{self.warehouse.root}/{p}" for p in kept]).select(F.col(RID).alias("__r"))
+            new = new.join(still, F.col(RID) == F.col("__r"), "left_anti")
+        return self.warehouse.write(name, new)
+
     def _staged(self, t: TableDef, rows: Rows) -> tuple[DataFrame, int]:
         """New rows, complete, sanitized, numbered, and written as a part."""
         if not self.warehouse:
@@ -247,10 +300,7 @@ class Database:
 
     def _check_rest(self, t: TableDef, images: Images, rows: DataFrame) -> None:
         for c in t.foreign_keys():
-            there = images.read(c.foreign_key.table).select(F.col(f"`{c.foreign_key.column}`").alias("__k"))
-            if c.foreign_key.table == t.name:
-                there = there.union(rows.select(F.col(f"`{c.foreign_key.column}`")))
-            if not rows.where(F.col(f"`{c.name}`").isNotNull()).join(there, F.col(f"`{c.name}`") == F.col("__k"), "left_anti").isEmpty():
+            if not self._orphans(images, t, c, rows, rows if c.foreign_key.table == t.name else None).isEmpty():
                 raise BrokenForeignKeyReference(f"{t.name}.{c.name}")
         needed = [F.col(f"`{c.name}`").isNull() for c in t.columns if not c.nullable]
         if needed and not rows.where(reduce(lambda a, b: a | b, needed)).isEmpty():
@@ -322,8 +372,11 @@ class Database:
                     raise ForeignKeyConstraintViolation(f"{child.name}.{c.name}")
             images.replace(t.name, rows.where(~hit))
             return n
-        doomed = {t.name: rows.where(hit).select(RID)}
-        frontier = [(t, rows.where(hit))]
+        # each level is saved, so that the next one does not find it anew
+        save = self._saved if check else lambda df: df
+        first = save(rows.where(hit))
+        doomed = {t.name: first.select(RID)}
+        frontier = [(t, first)]
         while frontier:
             parent, gone = frontier.pop()
             keys = gone.select(F.col(f"`{parent.key.name}`").alias("__k")) if parent.key else None
@@ -331,6 +384,7 @@ class Database:
                 more = images.read(child.name).join(keys, F.col(f"`{c.name}`") == F.col("__k"), "left_semi")
                 if child.name in doomed:
                     more = more.join(doomed[child.name], RID, "left_anti")
+                more = save(more)
                 if not more.isEmpty():
                     doomed[child.name] = doomed[child.name].union(more.select(RID)).distinct() if child.name in doomed else more.select(RID)
                     frontier.append((child, more))
@@ -342,6 +396,11 @@ class Database:
             images.replace(name, image)
         return total
 
+    def _saved(self, df: DataFrame) -> DataFrame:
+        """The frame written among the warehouse's scratch parts, which vacuum() clears."""
+        part = self.warehouse.write("_scratch", df)
+        return self.spark.read.schema(df.schema).parquet(f"{self.warehouse.root}/{part}")
+
     # transactions
 
     def begin(self) -> int:

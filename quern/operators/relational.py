@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import types as K
 from ..errors import AggregateClauseInSelect, BrokenForeignKeyReference, InvalidQuery, JoinInsideTypedSelect, UnknownColumn
@@ -33,7 +34,9 @@ def distinct_by(df: DataFrame, table: TableDef, names: tuple[str, ...], tie: lis
     if not names:
         return df
     keys = [F.col(f"`{n}`") for n in names if n in table]
-    w = W.partitionBy(*keys or [F.lit(1)]).orderBy(*tie)
+    if not keys:
+        return df.orderBy(*tie).limit(1)
+    w = W.partitionBy(*keys).orderBy(*tie)
     return df.withColumn("__first", F.row_number().over(w)).where("__first = 1").drop("__first")
 
 
@@ -45,9 +48,10 @@ def scan_order(df: DataFrame, table: TableDef) -> list[Column]:
     return [F.col(f"`{key.name}`")] if key else [F.col(f"`{n}`") for n in table.names]
 
 
-def page(df: DataFrame, q: Query, keys: list[Column], tie: list[Column]) -> DataFrame:
+def page(df: DataFrame, q: Query, keys: list[Column], tie: list[Column], early: bool = False) -> DataFrame:
+    """Order, offset and limit. With `early`, a page without an order is any page: the scan stops when it is full."""
     paged = q.limit is not None or q.offset is not None
-    if keys or paged:
+    if keys or (paged and not early):
         df = df.orderBy(*keys, *tie)
     if q.offset:
         df = df.offset(q.offset)
@@ -62,10 +66,11 @@ def base_rows(catalog: Catalog, read: Reader, name: str, q: Query, ansi: bool) -
     return distinct_by(df, table, q.distinct, tie), table, tie
 
 
-def select(catalog: Catalog, read: Reader, name: str, q: Query, ansi: bool = False) -> DataFrame:
+def select(catalog: Catalog, read: Reader, name: str, q: Query, ansi: bool = False, early: bool = False) -> DataFrame:
     """filter, distinct-by, eager parents, order, offset and limit, projection.
 
-    Each eager relation adds a struct column for each foreign key that leads to its table.
+    A page without an order is cut in scan order; with `early`, and no distinct-by either, where the
+    scan happens to be, which need not sort or read the whole table. Each eager relation adds a struct column for each foreign key that leads to its table.
     """
     if q.group_by or q.having is not None:
         raise AggregateClauseInSelect("group_by and having need aggregate()")
@@ -76,7 +81,7 @@ def select(catalog: Catalog, read: Reader, name: str, q: Query, ansi: bool = Fal
         table[n]
     keys = [order(F.col(f"`{n}`"), table[n].kind, up) for n, up in q.order_by]
     added: list[str] = []
-    df = page(df, q, keys, tie)
+    df = page(df, q, keys, tie, early and not q.distinct)
     for parent in q.eager:
         links = table.foreign_keys(parent)
         if not links:
@@ -173,9 +178,11 @@ def aggregate(catalog: Catalog, read: Reader, name: str, q: Query, functions: li
             if c is None or not c.kind.numeric:
                 raise InvalidQuery(f"{f.function} needs a numeric column")
             floating = c.kind.name.startswith("float")
-            total = F.sum(x if floating else x.cast(f"decimal(28,{SCALE})"))
+            # decimals keep their own scale: a sum that needs more than 38 digits raises
+            exact = c.kind.spark if c.kind.name == "decimal" else T.DecimalType(28, SCALE)
+            total = F.sum(x if floating else x.cast(exact))
             x = total if f.function == "sum" else F.try_divide(total, F.count(x))
-            kinds[f"agg{i}"] = (K.FLOAT64 if floating else K.decimal(SCALE), True)
+            kinds[f"agg{i}"] = (K.FLOAT64 if floating else K.decimal(max(SCALE, exact.scale)), True)
         elif f.function in ("min", "max"):
             x = (F.min if f.function == "min" else F.max)(x)
             kinds[f"agg{i}"] = (c.kind, True)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,8 +100,8 @@ _join("q_join_self", "nation", builder().inner_join("nation", "n_regionkey", "n_
 _add("q_eager_one", lambda db: db.select("customer", builder().fields("c_custkey", "c_name").with_("nation").build()).select("c_custkey", "c_name", "nation.n_name"), "SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 _add("q_eager_two", lambda db: db.select("lineitem", builder().fields("l_orderkey", "l_linenumber").with_("part").with_("supplier").build()).select("l_orderkey", "l_linenumber", "part.p_name", "supplier.s_name"),
      "SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey")
-_add("q_fk_orphans", lambda db: db.frames["orders"].join(db.frames["customer"], F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey"), "SELECT o_orderkey FROM orders ANTI JOIN customer ON o_custkey = c_custkey")
-_add("q_fk_referenced", lambda db: db.frames["customer"].join(db.frames["orders"], F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey")
+_add("q_fk_orphans", lambda db: db.orphans("orders", "o_custkey").select("o_orderkey"), "SELECT o_orderkey FROM orders ANTI JOIN customer ON o_custkey = c_custkey")
+_add("q_fk_referenced", lambda db: db.referenced("customer", "orders", "o_custkey").select("c_custkey"), "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey")
 
 # order, paging, distinct
 _select("q_order_multi", "customer", builder().fields("c_custkey", "c_mktsegment").order_by_asc("c_mktsegment").order_by_desc("c_custkey"), "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment, c_custkey DESC")
@@ -123,7 +122,7 @@ _aggregate("q_agg_avg", "part", builder().group_by("p_brand"), [q.avg("p_size")]
 _aggregate("q_agg_minmax", "customer", builder().group_by("c_mktsegment"), [q.min_("c_name"), q.max_("c_acctbal")], "SELECT c_mktsegment, min(c_name) AS agg0, max(c_acctbal) AS agg1 FROM customer GROUP BY c_mktsegment")
 _aggregate("q_agg_group1", "lineitem", builder().group_by("l_returnflag"), [q.count()], "SELECT l_returnflag, count(*) AS agg0 FROM lineitem GROUP BY 1")
 _aggregate("q_agg_group2", "lineitem", builder().group_by("l_returnflag", "l_linestatus"), [q.count(), q.sum_("l_linenumber"), q.count()], "SELECT l_returnflag, l_linestatus, count(*) AS agg0, CAST(sum(l_linenumber) AS DOUBLE) AS agg1, count(*) AS agg2 FROM lineitem GROUP BY 1, 2", ("agg1",))
-_aggregate("q_agg_having", "orders", builder().group_by("o_custkey").having(q.gt("agg0", 12) & q.le("o_custkey", 1000)), [q.count()], "SELECT o_custkey, count(*) AS agg0 FROM orders GROUP BY 1 HAVING count(*) > 12 AND o_custkey <= 1000")
+_aggregate("q_agg_having", "orders", builder().group_by("o_custkey").having(q.gt("agg0", 12) & q.lt("agg1", 400000)), [q.count(), q.max_("o_totalprice")], "SELECT o_custkey, count(*) AS agg0, max(o_totalprice) AS agg1 FROM orders GROUP BY 1 HAVING count(*) > 12 AND max(o_totalprice) < 400000")
 _aggregate("q_agg_order", "orders", builder().group_by("o_orderpriority").order_by_desc("agg0").order_by_asc("o_orderpriority").limit(3), [q.count()], "SELECT o_orderpriority, count(*) AS agg0 FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
 _aggregate("q_agg_page", "orders", builder().group_by("o_custkey").order_by_asc("o_custkey").offset(10).limit(10), [q.max_("o_totalprice")], "SELECT o_custkey, max(o_totalprice) AS agg0 FROM orders GROUP BY 1 ORDER BY 1 LIMIT 10 OFFSET 10")
 _aggregate("q_agg_distinct_then_count", "events", builder().distinct("user_id").group_by("event_type"), [q.count()],
@@ -176,8 +175,8 @@ _REGIONS = TableDef("regions", (ColumnDef("id", K.INT32, primary_key=True), Colu
 
 
 def _managed(db: Database) -> Database:
-    """A warehouse of its own below the shared folder, or where Spark is local, a temporary one."""
-    root = db.spark.conf.get("spark.checkpoint.dir", None) or (tempfile.gettempdir() if db.spark.sparkContext.master.startswith("local[") else db.spark.conf.get("spark.sql.warehouse.dir"))
+    """A warehouse of its own below the shared folder, or where none is set, Spark's warehouse."""
+    root = db.spark.conf.get("spark.checkpoint.dir", None) or db.spark.conf.get("spark.sql.warehouse.dir")
     out = Database(db.spark, Catalog(_REGIONS, _NATIONS), f"{root}/quern-managed-{dt.datetime.now().timestamp()}")
     out.insert("regions", db.frames["region"].select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")))
     out.insert("nations", db.frames["nation"].select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))

@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
+import base64
+import datetime as dt
 import json
+import uuid
 from dataclasses import asdict, dataclass, field, replace
+from decimal import Decimal
 from typing import Any
 
 
+#: Literals that JSON has no form for: by tag, the type, how it is written, how it is read.
+_TYPED = {
+    "datetime": (dt.datetime, dt.datetime.isoformat, dt.datetime.fromisoformat), "date": (dt.date, dt.date.isoformat, dt.date.fromisoformat),
+    "decimal": (Decimal, str, Decimal), "uuid": (uuid.UUID, str, uuid.UUID),
+    "blob": ((bytes, bytearray), lambda x: base64.b64encode(x).decode(), lambda x: base64.b64decode(x, validate=True)),
+}
+
+
+def literal_to_json(value: Any) -> Any:
+    """A literal as JSON: plain, or {"type": tag, "value": text}; sequences by element."""
+    if isinstance(value, (list, tuple)):
+        return [literal_to_json(x) for x in value]
+    for tag, (kind, write, _) in _TYPED.items():
+        if isinstance(value, kind):
+            return {"type": tag, "value": write(value)}
+    return value
+
+
+def literal_from_json(x: Any) -> Any:
+    if isinstance(x, list):
+        return tuple(literal_from_json(v) for v in x)
+    if isinstance(x, dict) and set(x) == {"type", "value"}:
+        return _TYPED[x["type"]][2](x["value"])
+    return x
+
+
 @dataclass(frozen=True)
 class Json:
     """op: contains (value), has_key (path), or a comparison of what a path leads to."""
@@ -51,7 +81,7 @@ class Filter:
         out: dict = {"op": self.op}
         if self.parts:
             return out | {"parts": [p.to_json() for p in self.parts]}
-        value = {"json": asdict(self.value)} if isinstance(self.value, Json) else list(self.value) if isinstance(self.value, tuple) else self.value
+        value = {"json": asdict(self.value)} if isinstance(self.value, Json) else literal_to_json(self.value)
         return out | {"column": self.column, "value": value}
 
     @classmethod
@@ -60,8 +90,8 @@ class Filter:
             return cls(x["op"], parts=tuple(map(cls.from_json, x["parts"])))
         value = x.get("value")
         if isinstance(value, dict) and set(value) == {"json"}:
-            value = Json(**value["json"])
-        return cls(x["op"], x["column"], tuple(value) if isinstance(value, list) else value)
+            return cls(x["op"], x["column"], Json(**value["json"]))
+        return cls(x["op"], x["column"], literal_from_json(value))
 
 
 def _compare(op: str):
