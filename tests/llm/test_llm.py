@@ -438,3 +438,55 @@ def test_near_copies_ids(spark):
     assert sum(x in near[:2] and i == 7 for i, x in got) == 1 and sum(x in pair and i is None for i, x in got) == 1
     again = [(x["doc_id"], x["text"]) for x in corpus_pipeline.keep_one_of_near_copies(spark, docs.repartition(2), "").collect()]
     assert set(again) == set(got) and corpus_pipeline.keep_one_of_near_copies(spark, empty(docs), "").count() == 0
+
+
+def test_clashing_columns(spark):
+    """Columns that bear the results' or helpers' own names change no result, and repeated rows stay."""
+    r = random.Random(21)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(r.randrange(40))), f"s{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame([*rows, rows[3], rows[3], (None, None, None)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    n, words = 43, F.regexp_count("text", F.lit(mixing.WORD))
+    runs = {
+        "quality": (lambda d: quality.quality_scores(d, labels), ("doc_id", "held_out", "score"), ("score", "held_out", "quality", "k1")),
+        "bpe": (bpe.encode_texts, ("doc_id", "ids"), ("ids", "n_tokens", "k1")),
+        "mixing": (lambda d: mixing.mix_sources(d, words), ("doc_id", "size", "source_size", "target", "taken"), ("size", "target", "taken", "k1")),
+    }
+    for run, columns, extra in runs.values():
+        plain = run(docs).select(*columns).collect()
+        clash = run(docs.withColumns({c: F.lit("clash") for c in extra})).select(*columns).collect()
+        assert len(plain) == n and sorted(map(repr, plain)) == sorted(map(repr, clash))
+
+
+def test_cut_repeats(spark):
+    """The stage against a plain version: planted passages of over 50 words, shorter ones, characters of many bytes, null ids and texts."""
+    from quern.llm import pipeline as corpus_pipeline
+
+    r = random.Random(22)
+    say = lambda k: " ".join(r.choice(["é", "", "漢"]) + f"{r.choice(WORDS)}{r.randrange(10**5)}" for _ in range(k))
+    long, short, edge = say(60), say(40), say(51)
+    texts = [f"{say(r.randrange(30))} {x} {say(r.randrange(30))}" for x in (long, long, long, short, short, edge, edge, f"{long} {short}")]
+    texts += [say(80) for _ in range(5)] + ["", None, long]
+    rows = [(None if i == 2 else i, x, "en", None, 0) for i, x in enumerate(texts)] + [(9, texts[9], "en", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    length, seen = corpus_pipeline.PASSAGE_BYTES, {}
+    raw = [(i, (x or "").encode()) for i, x, *_ in rows]
+    for _, x in raw:
+        for i in range(len(x) - length + 1):
+            seen[x[i : i + length]] = seen.get(x[i : i + length], 0) + 1
+    want = []
+    for key, x in raw:
+        cover = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            if seen[x[i : i + length]] > 1:
+                cover[i : i + length] = b"\1" * length
+        for m in re.finditer(b"\1+", bytes(cover)):
+            inside = [w for w in re.finditer(rb"[^\x20\x09-\x0D]+", x) if m.start() <= w.start() and w.end() <= m.end()]
+            if len(inside) < corpus_pipeline.PASSAGE_WORDS:
+                cover[m.start() : m.end()] = bytes(m.end() - m.start())
+        want.append((key, bytes(b for b, c in zip(x, cover, strict=True) if not c).decode("utf-8", "ignore")))
+    got = corpus_pipeline.cut_repeats(spark, docs, "")
+    found = got.collect()
+    assert got.columns == list(corpus_pipeline.COLUMNS) and sorted(map(repr, want)) == sorted(repr((x["doc_id"], x["text"])) for x in found)
+    assert all(x["n_chars"] == len(x["text"]) for x in found) and not any(long in x["text"] or edge in x["text"] for x in found)
+    assert sum(short in x["text"] for x in found) == 2 and corpus_pipeline.cut_repeats(spark, empty(docs), "").count() == 0
