@@ -243,13 +243,13 @@ class Database:
         for name in given:
             t[name]
         manifest = self.warehouse.manifest()
-        columns = []
+        values = {}
         for c in t.columns:
             x = F.col(f"`{c.name}`").cast(c.kind.spark) if c.name in df.columns else F.lit(None).cast(c.kind.spark)
             if c.default is not None and c.name not in given:
                 x = F.lit(c.kind.literal(c.default() if callable(c.default) else c.default)).cast(c.kind.spark)
-            columns.append(self._sanitized(c, x).alias(c.name))
-        raw = self.warehouse.write(t.name, df.select(*columns))
+            values[c.name] = x
+        raw = self.warehouse.write(t.name, df.select(*[x.alias(n) for n, x in self._sanitized(t, values).items()]))
         staged = self.spark.read.schema(t.struct()).parquet(f"{self.warehouse.root}/{raw}")
         n = staged.count()
         counters = manifest["tables"].setdefault(t.name, {"parts": [], "autoincrement": {}})["autoincrement"]
@@ -273,13 +273,24 @@ class Database:
         out._part = part
         return out, n
 
-    def _sanitized(self, c: ColumnDef, x: Column) -> Column:
-        try:
-            for f in c.sanitizers:
-                x = f(x)
-        except Exception as e:
-            raise SanitizeError(f"{c.name}: {e}") from e
-        return x.cast(c.kind.spark)
+    def _sanitized(self, t: TableDef, values: dict[str, Column]) -> dict[str, Column]:
+        """All columns of a row after their sanitizers; those that move a date-time also set its offset column."""
+        out, offsets = {}, {}
+        for c in t.columns:
+            x, stored = values[c.name], values[c.offset] if c.offset else None
+            try:
+                for f in c.sanitizers:
+                    target = getattr(f, "offset", None)
+                    if target is None or stored is None:
+                        x = f(x)
+                    else:
+                        x = f(x, stored)
+                        stored = F.when(x.isNotNull(), F.lit(target)).otherwise(stored)
+                        offsets[c.offset] = stored
+            except Exception as e:
+                raise SanitizeError(f"{c.name}: {e}") from e
+            out[c.name] = x
+        return {c.name: offsets.get(c.name, out[c.name]).cast(c.kind.spark) for c in t.columns}
 
     def _validate(self, t: TableDef, rows: DataFrame) -> None:
         bad = [F.max((F.col(f"`{c.name}`").isNotNull() & ~F.coalesce(v(F.col(f"`{c.name}`")), F.lit(False))).cast("int")).alias(f"{c.name}.{i}") for c in t.columns for i, v in enumerate(c.validators)]
@@ -329,7 +340,8 @@ class Database:
         old, hit = images.read(t.name), self._where(t, where)
         marked = old.withColumn("__hit", hit)
         values = {n: F.lit(t[n].kind.literal(v)).cast(t[n].kind.spark) for n, v in patch.items()}
-        new = [F.when(F.col("__hit"), self._sanitized(c, values.get(c.name, F.col(f"`{c.name}`")))).otherwise(F.col(f"`{c.name}`")).alias(c.name) for c in t.columns]
+        clean = self._sanitized(t, {c.name: values.get(c.name, F.col(f"`{c.name}`")) for c in t.columns})
+        new = [F.when(F.col("__hit"), x).otherwise(F.col(f"`{n}`")).alias(n) for n, x in clean.items()]
         image = marked.select(*new, RID, "__hit")
         changed = image.where("__hit").drop("__hit")
         n = old.where(hit).count()

@@ -55,10 +55,20 @@ def round_to_scale(scale: int) -> Sanitizer:
     return lambda c: F.bround(c, scale)
 
 
-def timezone(target: int, current: Column | int = 0) -> Sanitizer:
-    """Local fields moved from the current offset (minutes) to the target's; the offset column becomes the target."""
-    return lambda c: F.timestamp_add("MINUTE", F.lit(target) - (current if isinstance(current, Column) else F.lit(current)), c)
+def timezone(target: int, current: Column | int | None = None) -> Sanitizer:
+    """Local fields moved from the current offset (minutes) to the target's.
 
+    Without a current offset it is that of the column's own offset column (else 0), which a write
+    sets to the target where there is a date-time.
+    """
 
-def utc(current: Column | int = 0) -> Sanitizer:
+    def move(c: Column, stored: Column | None = None) -> Column:
+        now = current if current is not None else 0 if stored is None else F.coalesce(stored, F.lit(0))
+        return F.timestamp_add("MINUTE", F.lit(target) - (now if isinstance(now, Column) else F.lit(now)), c)
+
+    move.offset = target
+    return move
+
+
+def utc(current: Column | int | None = None) -> Sanitizer:
     return timezone(0, current)

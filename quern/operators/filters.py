@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import types as K
 from ..errors import InvalidQuery
+from ..functions.json_order import json_key, literal_key
 from ..functions.patterns import json_predicate, like_regex
 from ..query import Filter, Json
 
@@ -62,16 +63,27 @@ def to_column(f: Filter, scope: Scope, ansi: bool = False, positive: bool = True
         return safe(c == want)
     if f.op == "ne":
         return safe(c != want) if ansi or not nullable else (c != want) | c.isNull()
-    compared = {"gt": c > want, "lt": c < want, "ge": c >= want, "le": c <= want}.get(f.op)
-    if compared is None:
+    if f.op not in ("gt", "lt", "ge", "le"):
         raise InvalidQuery(f"unknown filter {f.op}")
+    x = sort_key(c, kind)
+    if kind.name == "json":
+        want = F.lit(literal_key(value))
+    compared = {"gt": x > want, "lt": x < want, "ge": x >= want, "le": x <= want}[f.op]
+    if kind.name == "json":  # unparsable texts have no key
+        compared = F.coalesce(compared, F.lit(False))
     if nullable and not ansi and (f.op in ("gt", "ge")) == kind.null_high:
         return compared | c.isNull()
     return safe(compared)
 
 
+def sort_key(c: Column, kind: K.Kind) -> Column:
+    """What the type's values are compared by: themselves, but JSON texts by a key."""
+    return json_key(c) if kind.name == "json" else c
+
+
 def order(c: Column, kind: K.Kind, ascending: bool) -> Column:
     """Sort order with NULL in its type's place."""
+    c = sort_key(c, kind)
     last = kind.null_high == ascending
     if ascending:
         return c.asc_nulls_last() if last else c.asc_nulls_first()

@@ -13,7 +13,7 @@ from .. import types as K
 from ..errors import AggregateClauseInSelect, BrokenForeignKeyReference, InvalidQuery, JoinInsideTypedSelect, UnknownColumn
 from ..query import Aggregate, Query
 from ..schema import RID, Catalog, TableDef
-from .filters import Scope, order, to_column
+from .filters import Scope, order, sort_key, to_column
 
 #: Reads a table: its rows, with the row number where the table is managed.
 Reader = Callable[[str], DataFrame]
@@ -48,6 +48,12 @@ def scan_order(df: DataFrame, table: TableDef) -> list[Column]:
     return [F.col(f"`{key.name}`")] if key else [F.col(f"`{n}`") for n in table.names]
 
 
+def _order(table: TableDef, name: str, ascending: bool, prefix: str = "") -> list[Column]:
+    """Sort keys of a column: date-times that are equal go by their offset, where one is kept."""
+    c = table[name]
+    return [order(F.col(f"`{prefix}{x.name}`"), x.kind, ascending) for x in (c, *([table[c.offset]] if c.offset else []))]
+
+
 def page(df: DataFrame, q: Query, keys: list[Column], tie: list[Column], early: bool = False) -> DataFrame:
     """Order, offset and limit. With `early`, a page without an order is any page: the scan stops when it is full."""
     paged = q.limit is not None or q.offset is not None
@@ -79,7 +85,7 @@ def select(catalog: Catalog, read: Reader, name: str, q: Query, ansi: bool = Fal
     df, table, tie = base_rows(catalog, read, name, q, ansi)
     for n in q.columns or ():
         table[n]
-    keys = [order(F.col(f"`{n}`"), table[n].kind, up) for n, up in q.order_by]
+    keys = [k for n, up in q.order_by for k in _order(table, n, up)]
     added: list[str] = []
     df = page(df, q, keys, tie, early and not q.distinct)
     for parent in q.eager:
@@ -153,7 +159,10 @@ def select_join(catalog: Catalog, read: Reader, name: str, q: Query, ansi: bool
 
     if q.where is not None:
         df = df.where(to_column(q.where, scope, ansi))
-    keys = [order(scope(n)[0], scope(n)[1], up) for n, up in q.order_by]
+    keys = []
+    for n, up in q.order_by:
+        label, plain, _ = columns[find(n)]
+        keys += _order(catalog[label.partition("#")[0]], plain, up, f"{label}.")
     tie = [F.col(f"`{label}.{catalog[label.partition('#')[0]].key.name}`") for label in labels if catalog[label.partition("#")[0]].key]
     df = page(df, q, keys, tie)
     chosen = {k for n in q.columns or () for k, (_, plain, _) in columns.items() if n in (k, plain)}
@@ -184,7 +193,10 @@ def aggregate(catalog: Catalog, read: Reader, name: str, q: Query, functions: li
             x = total if f.function == "sum" else F.try_divide(total, F.count(x))
             kinds[f"agg{i}"] = (K.FLOAT64 if floating else K.decimal(max(SCALE, exact.scale)), True)
         elif f.function in ("min", "max"):
-            x = (F.min if f.function == "min" else F.max)(x)
+            least = F.min if f.function == "min" else F.max
+            key = sort_key(x, c.kind)
+            # equal keys are told apart by their text
+            x = least(x) if key is x else least(F.when(key.isNotNull(), F.struct(key.alias("key"), x.alias("value"))))["value"]
             kinds[f"agg{i}"] = (c.kind, True)
         elif f.function == "count":
             x = F.count(x)

@@ -82,6 +82,11 @@ for _n, _f, _w in (
 ):
     _select(f"q_json_{_n}", "events", builder().fields("event_id").filter(q.json_filter("props", _f)), f"SELECT event_id FROM events WHERE {_w}")
 
+# objects of one key are ordered by its value
+_select("q_json_compare", "events", builder().fields("event_id").filter(q.gt("props", {"k": 50})), f"SELECT event_id FROM events WHERE {_K} > 50")
+_select("q_json_order", "events", builder().fields("event_id", "props").order_by_desc("props").limit(50), f"SELECT event_id, props FROM events ORDER BY {_K} DESC, event_id LIMIT 50")
+_aggregate("q_json_minmax", "events", builder().group_by("event_type"), [q.min_("props"), q.max_("props")], f"SELECT event_type, arg_min(props, {_K}) AS agg0, arg_max(props, {_K}) AS agg1 FROM events GROUP BY 1")
+
 # joins
 _join("q_join_inner", "orders", builder().inner_join("customer", "o_custkey", "c_custkey").fields("o_orderkey", "c_name"), "SELECT o_orderkey AS orders_o_orderkey, c_name AS customer_c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 for _h in ("left", "right", "full"):

@@ -39,6 +39,8 @@ class ColumnDef:
     auto_increment: bool = False
     foreign_key: ForeignKey | None = None
     default: Any = None
+    #: Of a date-time: the column that holds its offset from UTC in minutes.
+    offset: str | None = None
     renamed_from: tuple[str, ...] = ()
     sanitizers: tuple[Callable[[Column], Column], ...] = ()
     validators: tuple[Callable[[Column], Column], ...] = ()
@@ -61,6 +63,9 @@ class TableDef:
     def __post_init__(self):
         if len({c.name for c in self.columns}) != len(self.columns):
             raise TableError(f"{self.name}: a column name repeats")
+        for c in self.columns:
+            if c.offset and (c.offset not in self or c.kind.name != "datetime" or not self[c.offset].kind.integer):
+                raise TableError(f"{self.name}.{c.name}: its offset needs an integer column beside a date-time")
 
     def __getitem__(self, name: str) -> ColumnDef:
         for c in self.columns:

@@ -217,3 +217,90 @@ def test_parts_and_sessions(db):
 
 def test_foreign_key_probes(db):
     assert db.orphans("posts", "user_id").count() == 0 and ids(db.referenced("users", "posts", "user_id")) == [1, 2]
+
+
+DOCS = ["null", "false", "true", "-1e300", "-3", "-0.5", "0", "1", "1.5", "2", "10", "9007199254740992", "9007199254740993", "18446744073709551615", "1e300", '""', '"\\u0000"', '"A"', '"a"', '"a\\u0000"', '"aa"', '"b"',
+        "[]", "[null]", "[1]", "[1,0]", "[1,[]]", "[2]", '["a"]', '["aa"]', "{}", '{"a":1}', '{"a":1,"b":null}', '{"a":2}', '{"aa":0}', '{"b":0}']
+
+
+def test_json_values_are_ordered(db):
+    """Keys follow the order of a plain comparison; ORDER BY, MIN, MAX and comparisons use them."""
+    import functools
+    import itertools
+    import json
+
+    from quern.functions.json_order import literal_key
+
+    def plain(a, b):
+        rank = lambda x: next(i for i, t in enumerate((type(None), bool, (int, float), str, list, dict)) if isinstance(x, t))
+        if rank(a) != rank(b):
+            return rank(a) - rank(b)
+        if isinstance(a, list):
+            found = (plain(x, y) for x, y in zip(a, b, strict=False))
+        elif isinstance(a, dict):
+            found = (f for x, y in zip(sorted(a), sorted(b), strict=False) for f in (plain(x, y), plain(a[x], b[y]) if x == y else 0))
+        else:
+            return 0 if a is None else (a > b) - (a < b)
+        return next((f for f in found if f), len(a) - len(b))
+
+    for x, y in itertools.product(DOCS, repeat=2):
+        kx, ky = literal_key(x), literal_key(y)
+        assert ((kx > ky) - (kx < ky)) == ((c := plain(json.loads(x), json.loads(y))) > 0) - (c < 0), (x, y)
+    assert literal_key("1") == literal_key("1.0") and literal_key("{") is None and literal_key("NaN") is None
+    want = sorted(range(len(DOCS)), key=functools.cmp_to_key(lambda i, j: plain(json.loads(DOCS[i]), json.loads(DOCS[j]))))
+    db.insert("sales", [{"id": i, "doc": d} for i, d in reversed(list(enumerate(DOCS)))] + [{"id": 99, "doc": None}])
+    order = lambda b: [r["id"] for r in db.select("sales", b.build()).collect()]
+    assert order(builder().order_by_asc("doc")) == [*want, 99] and order(builder().order_by_desc("doc").limit(4)) == [99, *want[:-4:-1]]
+    got = db.aggregate("sales", builder().filter(q.ne("doc", None) & q.gt("doc", 1)).build(), q.min_("doc"), q.max_("doc"), q.count()).first()
+    assert list(got) == ["1.5", '{"b":0}', len(DOCS) - 8]
+    assert ids(db.select("sales", builder().filter(q.lt("doc", "false")).build())) == [0]
+    assert ids(db.select("sales", builder().filter(~q.le("doc", '{"aa":0}')).build())) == [len(DOCS) - 1, 99]
+    assert db.aggregate("sales", builder().having(q.gt("agg0", '"z"')).build(), q.max_("doc")).count() == 1
+
+
+def test_offsets_of_date_times(spark, tmp_path):
+    """A sanitizer moves the local fields and sets the offset column; equal fields are ordered by their offset."""
+    import datetime as dt
+
+    def open_(name, *sanitizers):
+        t = TableDef("visits", (ColumnDef("id", K.INT32, primary_key=True), ColumnDef("at", K.DATETIME, nullable=True, offset="zone", sanitizers=sanitizers), ColumnDef("zone", K.INT16, nullable=True)))
+        return Database(spark, Catalog(t), str(tmp_path / name))
+
+    noon = dt.datetime(2024, 5, 1, 12)
+    rows = [{"id": 1, "at": noon, "zone": 120}, {"id": 2, "at": noon, "zone": -60}, {"id": 3, "at": None, "zone": 30}, {"id": 4, "at": noon, "zone": None}]
+    kept = open_("kept")
+    kept.insert("visits", rows[:3])
+    up = [r["id"] for r in kept.select("visits", builder().order_by_asc("at").build()).collect()]
+    assert up == [2, 1, 3] and [r["id"] for r in kept.select("visits", builder().order_by_desc("at").build()).collect()] == [3, 1, 2]
+    moved = open_("moved", S.timezone(60), S.utc())
+    moved.insert("visits", rows)
+    hour = dt.timedelta(hours=1)
+    want = [(1, noon - 2 * hour, 0), (2, noon + hour, 0), (3, None, 30), (4, noon, 0)]
+    read = lambda: sorted(map(tuple, moved.select("visits").collect()))
+    assert read() == want
+    moved.update("visits", {"at": noon, "zone": 60}, q.eq("id", 1))
+    moved.update("visits", {"id": 5}, q.eq("id", 2))
+    assert read() == [(1, noon - hour, 0), want[2], want[3], (5, noon + hour, 0)]
+    with pytest.raises(E.TableError):
+        TableDef("x", (ColumnDef("at", K.DATETIME, offset="zone"),))
+
+
+def test_urls(spark):
+    good = ["http://example.com", " https://example.com:443/a?b#c\n", "http:example.com", "http:\\\\example.com\\a", "ftp://u:p@h.org:021/", "http://a@b@c.d/", "http://%41.com", "http://1.2.3.4", "http://0x7f.1", "http://127.1.", "http://[::1]:80/",
+            "http://[1:2:3:4:5:6:7:8]", "http://[::ffff:1.2.3.4]", "http://é.com", "file:///a/b", "file:a", "file://host/a", "file:///C:/a", "mailto:a@b.c", "data:,x y", "urn:x", "a+b-c.1:", "git://h:9418/x", "git:///x", "http://h:65535", "http://h:", "x://a%b"]
+    bad = ["", "example.com", "/a/b", "//example.com", "1http://a", "http://", "https:///", "http://a b", "http://u@/", "http://h:65536", "http://h:8a", "http://:80", "http://a<b", "http://a%20b", "http://%zz", "http://256.1.1.1", "http://1.2.3.4.5", "http://1.2.3.08",
+           "http://4294967296", "http://[::1", "http://[1:2]", "http://[::1::]", "http://[1:2:3:4:5:6:7:8:9]", "http://[::g]", "git://h:x/", "git://u@/", "git://a b/", "file://a:80/", "http://[::1]x"]
+    df = spark.createDataFrame([(u,) for u in good + bad] + [(None,)], "u string")
+    got = {r[0]: r[1] for r in df.select("u", V.url(df["u"])).collect()}
+    assert [u for u in good if got[u] is not True] == [] and [u for u in bad if got[u] is not False] == [] and got[None] is None
+
+
+def test_codes_of_countries_and_languages(spark):
+    a = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    df = spark.createDataFrame([(x + y,) for x in a for y in a], "c string")
+    found = df.select("c", V.country_iso3166(df["c"]).alias("land")).where("land")
+    assert found.count() == 249 and {"AX", "BQ", "SS", "UM", "ZW"} <= {r[0] for r in found.collect()}
+    low = df.selectExpr("lower(c) AS c")
+    assert low.where(V.country_iso3166(low["c"])).isEmpty() and df.where(V.country_iso639(df["c"])).isEmpty()
+    tongues = {r[0] for r in low.where(V.country_iso639(low["c"])).collect()}
+    assert len(tongues) == 184 and {"aa", "he", "id", "yi", "zu"} <= tongues and not tongues & {"in", "iw", "ji", "mo"}
