@@ -57,8 +57,8 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     the order of turns. content is the text without quoted lines and the lines that announce them;
     formatted is content between the role's markers.
 
-    Nothing is gathered by conversation: hashes are joined by a window over (conversation, hash),
-    chains are shortened by pointer jumping, and positions are counted in blocks of BLOCK turns of one
+    Nothing is gathered by conversation: hashes are joined by windows over (conversation, hash) in
+    blocks of BLOCK turns, and over the blocks' last turns; chains are shortened by pointer jumping, and positions are counted in blocks of BLOCK turns of one
     thread, whose counts are added up by blocks of BLOCK threads. Null texts have null content and are formatted as empty. A null turn
     stands last and answers nothing; null conversations are one conversation; a null role is
     written as unknown. Rows repeated within a turn link alike and are numbered one after another. An empty table
@@ -107,8 +107,14 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
         said = said.withColumns({"by_line": _pieces(F.split("content", "\n")), "by_sentence": _pieces(F.split("content", SENTENCE)), "texts": texts})
         said = said.select("__c", "__t", F.explode(F.concat("texts", _runs(F.col("by_line"), F.col("lines")), _runs(F.col("by_sentence"), F.col("sentences")))).alias("u")).select("__c", "__t", "u.h1", "u.h2").distinct()
         both = said.withColumns({"size": F.lit(None).cast("int"), "level": F.lit(None).cast("int"), "own": F.lit(True)}).unionByName(passages.drop("lines", "sentences").withColumn("own", F.lit(False)))
-        earlier = F.last(F.when(F.col("own"), F.col("__t")), ignorenulls=True).over(W.partitionBy("__c", "h1", "h2").orderBy("__t").rangeBetween(W.unboundedPreceding, -1))
-        found = both.withColumn("to", earlier).where("NOT own AND to IS NOT NULL")
+        # the latest earlier turn with the hash: within a block of turns, or else the last one of the blocks before
+        both = both.withColumns({"block": F.floor(F.col("__t") / BLOCK), "mine": F.when(F.col("own"), F.col("__t"))})
+        near = F.last("mine", ignorenulls=True).over(W.partitionBy("__c", "h1", "h2", "block").orderBy("__t").rangeBetween(W.unboundedPreceding, -1))
+        ends = both.groupBy("__c", "h1", "h2", "block").agg(F.max("mine").alias("end"))
+        far = F.last("end", ignorenulls=True).over(W.partitionBy("__c", "h1", "h2").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+        ends = ends.select(F.col("__c").alias("ec"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("block").alias("eb"), far.alias("far")).where("far IS NOT NULL")
+        same = F.col("__c").eqNullSafe(F.col("ec")) & (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2")) & (F.col("block") == F.col("eb"))
+        found = both.withColumn("near", near).where("NOT own").join(ends, same, "left").withColumn("to", F.coalesce("near", "far")).where("to IS NOT NULL")
         replies = found.groupBy("__c", "__t").agg(F.max(F.struct(-F.col("level"), "size", "to"))["to"].alias("to")).select(F.col("__c").alias("rc"), F.col("__t").alias("rt"), "to")
         replies = scratch.save(replies.withColumn("root", F.col("to")), "replies-0")
         for k in range(1, rounds + 1):

@@ -322,6 +322,88 @@ def test_chat_positions(spark, monkeypatch):
     assert sum(r["root_turn"] == 3 for r in got) > 25 and sum(r["root_turn"] == 5 for r in got) > 5
 
 
+def plain_replies(rows):
+    """(conversation, turn) -> the turn that is answered, by comparing texts and not hashes."""
+    import regex
+
+    fold = lambda x: regex.sub(r"[^\p{L}\p{N}]+", " ", x.lower()).strip()
+    pieces = lambda xs: [y for y in map(fold, xs) if y]
+    level = lambda x: m[0].count(">") if (m := re.match(chat.QUOTE, x)) else 0
+    parsed, counts = {}, {}
+    for c, t, _, text in set(rows):
+        lines = re.split("\r?\n", text)
+        announces = lambda i: re.search(chat.ATTRIBUTION, lines[i]) and i + 1 < len(lines) and level(lines[i + 1])  # noqa: B023, E731
+        content = "\n".join(x for i, x in enumerate(lines) if not level(x) and not announces(i)).strip()
+        passages, last = [], -1
+        for x in lines:
+            rest = re.sub(chat.QUOTE, "", x)
+            if level(x) != last or not rest.strip(" "):
+                passages.append((level(x), []))
+            passages[-1][1].append(rest)
+            last = level(x)
+        units = []
+        for deep, parts in passages:
+            joined = " ".join(parts)
+            said, by_line, by_sentence = fold(joined), pieces(parts), pieces(re.split(chat.SENTENCE, joined))
+            if deep and said:
+                n_lines, n_sentences = counts.setdefault(c, ({1}, {1}))
+                n_lines.add(len(by_line))
+                n_sentences.add(len(by_sentence))
+                units += [(deep, len(said), said), (deep, len(said), tuple(by_line)), (deep, len(said), tuple(by_sentence))]
+                units += [(deep, len(x), (x,)) for x in by_line + by_sentence]
+        parsed.setdefault((c, t), []).append((content, units))
+    own = {}
+    for (c, t), messages in parsed.items():
+        for content, _ in messages:
+            has = own.setdefault((c, t), set())
+            has.update(pieces([content, *re.split(r"\n\s*\n", content), *content.split("\n")]))
+            for split, sizes in zip((content.split("\n"), re.split(chat.SENTENCE, content)), counts.get(c, ((), ())), strict=True):
+                p = pieces(split)
+                has.update(tuple(p[i : i + k]) for k in sizes for i in range(len(p) - k + 1))
+    out = {}
+    for (c, t), messages in parsed.items():
+        found = []
+        for deep, size, unit in (u for _, units in messages for u in units):
+            to = max((x for (d, x), has in own.items() if d == c and x < t and unit in has), default=None)
+            if to is not None:
+                found.append((-deep, size, to))
+        out[c, t] = max(found)[2] if found else None
+    return out
+
+
+def test_chat_plain(spark, monkeypatch):
+    """Generated threads, nested, repeated and cross-quoted, against plain comparison of texts; turns in blocks of 4."""
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    words = "red blue green one two three stone river light house wind snow".split()
+    pick = lambda *x: x[rng.integers(len(x))]
+    sentence = lambda: pick("Yes.", "I agree.", *[" ".join(rng.choice(words, rng.integers(2, 6))).capitalize() + pick(".", "!", "?") for _ in range(6)])
+    fresh = lambda: pick("\n", "\n\n").join(pick(" ", "\n").join(sentence() for _ in range(rng.integers(1, 4))) for _ in range(rng.integers(1, 4)))
+    mark = lambda x: "\n".join(pick("> ", ">") + y for y in x.split("\n"))
+    rows = []
+    for c in range(40):
+        texts = []
+        for t in range(14):
+            parts = []
+            for _ in range(rng.integers(0, 3) if texts else 0):
+                x = texts[rng.integers(len(texts))]
+                some = x.split("\n")
+                i = rng.integers(len(some))
+                x = pick(x, x, "\n".join(some[i : i + 2]), some[i].split(". ")[0], x.replace("\n\n", "\n"), x.upper(), mark(x))
+                parts.append(pick("", "", "Bob wrote:\n") + mark(x) + pick("\n", "\n\n"))
+            texts.append("".join(parts) + pick(fresh(), fresh(), sentence(), ""))
+            rows += [(c, t, "user", texts[-1])] * int(pick(1, 1, 1, 2))
+        rows.append((c, 5, "user", fresh()))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {}
+    for r in chat.link_quotations(df).collect():
+        got.setdefault((r["conv_id"], r["turn"]), set()).add(r["reply_to"])
+    want = plain_replies(rows)
+    assert {k: v for k, v in got.items() if v != {want[k]}} == {} and sum(v is not None for v in want.values()) > 200
+    links = [(c, t, r) for (c, t), r in want.items() if r is not None]
+    assert any(t // 4 > r // 4 for _, t, r in links) and any(t // 4 == r // 4 for _, t, r in links)
+
+
 def test_mixing(docs):
     mixed = mixing.mix_sources(docs, F.regexp_count("text", F.lit(mixing.WORD)))
     rows = mixed.collect()
