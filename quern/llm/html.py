@@ -34,15 +34,17 @@ _MARKS = frozenset(
 )
 #: Whole ids that do; words that may well name a section of an article are not among them.
 _IDS = frozenset("ad ads adsense sidebar sidenav nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comments commentlist disqus newsletter pagination outbrain taboola".split())
+#: Class names and ids that count within an article too: adverts, reader comments, sidebars.
+_INSIDE = frozenset("ad ads adsense adslot advert advertisement advertising adverts commentlist comments disqus newsletter outbrain sidebar sponsored taboola".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marked", "chars", "articles", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "parent", "children", "marked", "host", "chars", "articles", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.marked = tag, parent, [], False
+        self.tag, self.parent, self.children, self.marked, self.host = tag, parent, [], False, None
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -63,18 +65,20 @@ def _hidden(tag: str, values: dict[str, str], inside: bool) -> bool:
 
 
 def _marked(tag: str, values: dict[str, str], inside: bool) -> bool:
-    """True for an element that a class or its id names as not the article; never a heading, nor inside article or main."""
-    if inside or tag in _HEADINGS or tag in ("html", "body", "main"):
+    """True for an element that a class or its id names as not the article; never a heading, and few names count inside article or main."""
+    if tag in _HEADINGS or tag in ("html", "body", "main"):
         return False
     names, own = set(values.get("class", "").lower().split()), values.get("id", "").strip().lower()
+    if inside:
+        return tag != "article" and bool((names | {own}) & _INSIDE)
     return bool(names & _MARKS) or own in _IDS or "header" in names or own == "header"
 
 
 def prune(root: Node) -> None:
     """Take marked subtrees out of the tree, but none that holds most of the page's text.
 
-    Such a one goes only where an article or main element with text stands outside it. Where
-    nothing would be left, all stay.
+    Such a one goes only where an article or main element with text stands outside it. One within
+    an article or main element goes where that has other text. Where nothing would be left, all stay.
     """
     nodes, todo = [], [root]
     while todo:
@@ -86,7 +90,11 @@ def prune(root: Node) -> None:
     for n in reversed(nodes):
         n.chars = sum(c.chars if isinstance(c, Node) else len(c.strip()) for c in n.children)
         n.articles = sum(c.articles for c in n.children if isinstance(c, Node)) + (n.tag in ("article", "main") and n.chars > 0)
-    goes = {id(n) for n in nodes if n.marked and (2 * n.chars <= root.chars or root.articles > n.articles)}
+    for n in nodes:
+        for c in n.children:
+            if isinstance(c, Node):
+                c.host = n if n.tag in ("article", "main") else n.host
+    goes = {id(n) for n in nodes if n.marked and (n.host.chars > n.chars if n.host else 2 * n.chars <= root.chars or root.articles > n.articles)}
     left, todo = 0, [root]
     while todo:
         for c in todo.pop().children:
@@ -281,8 +289,8 @@ def extract_pages(pages: DataFrame, html: str = "html", text: str = "text") -> D
 
     Null, empty and blank pages, and pages without text, have the empty text. Pages of any length
     are read whole, nested however deep. Repeated rows each have a row.
-    Elements of a page's frame are left out by tag and role, and outside article and main by whole
-    class names and ids, unless most of the page's text is in them.
+    Elements of a page's frame are left out by tag and role, and by whole class names and ids: outside
+    article and main unless most of the page's text is in them, inside only adverts, comments and sidebars.
     Columns of the result's own names are replaced.
     """
     checked(pages, html)

@@ -483,6 +483,18 @@ def test_html_names():
     assert html.main_text(f"<body><div class='widget'>{para}</div><div class='widget'>{para}</div></body>") == f"{text}\n\n{text}"
 
 
+def test_html_inside():
+    """Adverts, reader comments and sidebars go within an article too, but not where it has no other text."""
+    para = "<p>A paragraph of the article that is long enough to count, and then goes on for some more words.</p>"
+    text = "A paragraph of the article that is long enough to count, and then goes on for some more words."
+    extra = f"<div class='box ad'>Buy this</div><aside>Side</aside><section id=comments><h3>Readers</h3>{'<div class=comment>I like it, and I say so at length here.</div>' * 9}</section><div class='sidebar'>Links</div>"
+    for wrap in ("<article>{}</article>", "<main><div>{}</div></main>", "<main><article>{}</article></main>", "<div class='page'><article><div>{}</div></article></div>"):
+        assert html.main_text(PAGE.replace("@@", wrap.replace("{}", para + extra + para))) == f"{text}\n\n{text}"
+    assert html.main_text(f"<body><article><div class='sidebar'>{para}</div></article></body>") == text
+    assert html.main_text(f"<body><main><article class='sponsored'>{para}</article><p>x</p></main></body>").startswith(text)
+    assert "said of ads" in html.main_text(f"<body><article>{para}<section class='ads-history'><h2 class='ads'>Ads</h2><p>What was said of ads</p></section></article></body>")
+
+
 def test_pipeline(spark, tmp_path):
     from quern.llm import pipeline as corpus_pipeline
 
