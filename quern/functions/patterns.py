@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -79,8 +81,12 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def _whole(kind: Column) -> Column:
+    return kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+
+
 def _numeric(kind: Column) -> Column:
-    return kind.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
+    return _whole(kind) | kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
 def _typed(v: Column, value: Any) -> tuple[Column, Column, Column]:
@@ -121,11 +127,16 @@ def _equal(v: Column, value: Any) -> Column:
         return F.coalesce(F.is_variant_null(v), F.lit(False))
     same, got, want = _typed(v, value)
     if not isinstance(value, (bool, str)):  # 1 and 1.0 are different numbers
-        whole = _kind(v).rlike(r"^(BIGINT|INT|SMALLINT|TINYINT)")
+        whole = _whole(_kind(v))
         same = same & (whole if isinstance(value, int) else ~whole)
     return F.coalesce(same & (got == want), F.lit(False))
 
 
+def _once(v: Column, predicate: Callable[[Column], Column]) -> Column:
+    """The predicate of a value that is worked out once a row: a filter shares no subexpressions. Pays where it is named many times."""
+    return F.exists(F.array(v), predicate)
+
+
 def json_predicate(c: Column, f: Json) -> Column:
     """Never-NULL predicate over a JSON text column; NULL and unparsable texts do not match."""
     v, no = F.try_parse_json(c), F.lit(False)
@@ -135,23 +146,21 @@ def json_predicate(c: Column, f: Json) -> Column:
     at = _at(v, parse_path(f.path))
     if f.op == "has_key":
         return at.isNotNull()
-    null = F.coalesce(F.is_variant_null(at), no)
+    is_null = lambda x: F.coalesce(F.is_variant_null(x), no)
     if f.op == "is_null":
-        return c.isNotNull() & (at.isNull() | null)
-    if f.op == "not_null":
-        return at.isNotNull() & ~null
+        return c.isNotNull() & (at.isNull() | is_null(at))
+    if f.op == "not_null" or (f.op == "ne" and f.value is None):
+        return at.isNotNull() & ~is_null(at)
     if f.op == "in":
-        out = no
-        for x in f.value:
-            out = out | (null if x is None else _loose(at, x, "eq"))
-        return out
+        return _once(at, lambda x: reduce(lambda a, b: a | b, [is_null(x) if y is None else _loose(x, y, "eq") for y in f.value], no))
     if f.value is None:
-        return null if f.op == "eq" else at.isNotNull() & ~null if f.op == "ne" else no
+        return is_null(at) if f.op == "eq" else no
     if f.op == "ne":
         return at.isNotNull() & ~_loose(at, f.value, "eq")
     # an explicit null is above numbers and booleans, and below text
     high = not isinstance(f.value, str)
-    return _loose(at, f.value, f.op) | (null if f.op in (("gt", "ge") if high else ("lt", "le")) else no)
+    null_too = f.op in (("gt", "ge") if high else ("lt", "le"))
+    return _loose(at, f.value, f.op) | (is_null(at) if null_too else no)
 
 
 def _loose(v: Column, value: Any, op: str) -> Column:
